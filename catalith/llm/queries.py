@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from catalith.llm import canonical, oracles_p1, survivors
+from catalith.llm import canonical, groups, oracles_p1, survivors
 
 QUERIES = {
     "p1_found": survivors.p1_found,
     "p1_records": survivors.p1_records,
     "p2_found": canonical.p2_found,
     "p2_unmatched": canonical.p2_unmatched,
+    "p3_found": groups.p3_found,
 }
 ORACLES = {
     "p1_found": oracles_p1.P1_FOUND_SQL,
