@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalith.llm import canonical, groups, oracles_p1, survivors
+from catalith.llm import canonical, groups, leakage, oracles_p1, packing, survivors, truncation
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -10,6 +10,10 @@ QUERIES = {
     "p2_found": canonical.p2_found,
     "p2_unmatched": canonical.p2_unmatched,
     "p3_found": groups.p3_found,
+    "p7_packed": packing.p7_packed,
+    "p8_found": leakage.p8_found,
+    "p9_found": truncation.p9_found,
+    "p9_sources": truncation.p9_sources,
 }
 ORACLES = {
     "p1_found": oracles_p1.P1_FOUND_SQL,
