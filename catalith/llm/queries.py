@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalith.llm import canonical, groups, leakage, oracles_p1, packing, survivors, truncation
+from catalith.llm import canonical, groups, leakage, linkage, oracles_p1, packing, survivors, truncation
 
 QUERIES = {
     "p1_found": survivors.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p2_found": canonical.p2_found,
     "p2_unmatched": canonical.p2_unmatched,
     "p3_found": groups.p3_found,
+    "p5_found": linkage.p5_found,
+    "p5_confidence": linkage.p5_confidence,
     "p7_packed": packing.p7_packed,
     "p8_found": leakage.p8_found,
     "p9_found": truncation.p9_found,

@@ -39,7 +39,7 @@ CLOSING_LINES, CLOSING_SHARE = 4, 0.5
 #: Words of a line that count as its beginning.
 HEAD_WORDS = 3
 
-MARK = r"(?:…|\.{3}|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\))[\s\p{Z}]*$"
+MARK = r"(?:\((?:more|continued)\)|…|\.{3}|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\))[\s\p{Z}]*$"
 TORN = r"(?:&#?[A-Za-z0-9]{0,8}|</?[A-Za-z][^<>]{0,200}|<|\ufffd+)$"
 TERMINAL = r"[.!?。！？](?:[\"'”’»)\]*_]|</[A-Za-z0-9]+>|&quot;)*$"
 # Last lines that are complete without a full stop, by their form.
