@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def spelling(name: Column) -> Column:
@@ -48,7 +49,7 @@ def expand_scheme(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^github:", "https://github.com/"), r"^git\+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def image_url(base: pd.Series, value: pd.Series) -> pd.Series:
     """An image address resolved against its page; '' for none and for a bare root."""
 

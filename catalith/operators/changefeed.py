@@ -9,8 +9,9 @@ shuffle, and no row is collected.
 
 Defined cases: an operation without id, collection or revision cannot be ordered
 and is left out; a null delete flag means false; a null field is not set by that
-change; if one revision comes with different contents, the first arrival counts;
-a delete of an absent record has no effect.
+change; a revision may be repeated with equal content only, and where a feed
+breaks that, each field takes the first arrival that sets it; a delete of an
+absent record has no effect.
 """
 
 from __future__ import annotations

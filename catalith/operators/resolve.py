@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from catalith.functions import ids, names
 
@@ -34,7 +35,7 @@ PRIORITY = [("same exact name", 7), ("same normalized spelling", 6), ("same dist
 PACKAGE = "id string, registry string, name string, repository string, homepage string, source_urls array<string>, checksums array<string>, authors array<string>, maintainers array<string>, licenses array<string>, description string, package_type string, versions array<string>, repositories array<string>"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity without case; null if either is empty."""
 
