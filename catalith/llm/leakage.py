@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.util import table
+from catalith.util import spread, table
 
 #: Passages of a block, and characters that they may have together.
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
@@ -157,7 +157,11 @@ class Index:
             return []
         reps = self.last[found] - self.first[found]
         flat = np.repeat(self.first[found] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-        item, place, text = self.item[flat].astype(np.int64), self.place[flat].astype(np.int64), np.repeat(at, reps)
+        item = self.item[flat]
+        enough = (np.bincount(item, minlength=len(self.ids)) >= self.asked)[item]
+        if not enough.any():
+            return []
+        item, place, text = item[enough].astype(np.int64), self.place[flat[enough]].astype(np.int64), np.repeat(at, reps)[enough]
         half = BAND // 2
         cell = (text - place) // half + (1 << 20)
         # each hit lies in two overlapping bands
@@ -281,7 +285,7 @@ def scan(index: Index, ids: list, texts: list[str], share: float = SHARE) -> lis
     slots, entries = index.sweep(_codes("\n".join(folded)))
     cut = np.searchsorted(slots, begins)
     out = []
-    for n in np.flatnonzero(np.diff(cut) >= LEAST_IN_BAND):
+    for n in np.flatnonzero(np.diff(cut) >= index.asked.min()):
         own = slice(cut[n], cut[n + 1])
         found = index.candidates(entries[own], slots[own] - begins[n])
         if not found:
@@ -311,7 +315,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     if block:
         blocks.append(block)
     shared = {h for h, n in heads.items() if h and n >= SHARED_BY}
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    source = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL"))
     kind = dict(source.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, share double"
     out = None
