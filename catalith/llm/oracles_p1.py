@@ -18,7 +18,7 @@ def _squeezed(c: str) -> str:
 P1_FOUND_SQL = f"""
 WITH keyed AS (
   SELECT v.*, coalesce(o.trust, 0) AS trust, lower(trim(package_id)) AS pid, regexp_replace(lower(trim(release_version)), '^v', '') AS ver
-  FROM package_versions v LEFT JOIN origins o USING (origin)
+  FROM package_versions v LEFT JOIN origins o USING (origin) WHERE package_id IS NOT NULL AND release_version IS NOT NULL
 ), grouped AS (
   SELECT *, min(release_id) OVER w AS first_id, count(*) OVER w AS n FROM keyed WINDOW w AS (PARTITION BY pid, ver, channel)
 ), texts AS (

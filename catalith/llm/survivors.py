@@ -98,15 +98,19 @@ def shortened(values: DataFrame, group: list[str], text: str, out: str = "shorte
     return joined.withColumn(out, F.col("__cut").isNotNull()).drop("__bare", "__full", "__cut", *[f"__{g}" for g in group])
 
 
-def survivors(rows: DataFrame, group: list[Column], row_id: str, fields: dict[str, str], trust: Column, time: str) -> DataFrame:
-    """(first_id, field_name, row id, value as JSON-free columns left to the caller).
+def survivors(rows: DataFrame, group: list[Column], row_id: str, fields: dict[str, str], trust: Column, time: str, required: int = 2) -> DataFrame:
+    """(first_id, field_name, row id): the member whose value survives.
 
-    ``group`` are the expressions of the duplicate key, compared null-safe;
-    ``fields`` maps a column to text, licences or address.
+    ``group`` are the expressions of the duplicate key; a row in which one of the
+    first ``required`` is null belongs to no group, the others are compared
+    null-safe.  ``fields`` maps a column to text, licences or address.
     """
     usable = {"text": usable_text, "licences": usable_licences, "address": usable_address}
     key = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.concat(F.lit("="), g), F.lit("~")) for g in group]), 256)
-    keyed = rows.where(F.col(row_id).isNotNull()).withColumn("__g", F.substring(key, 1, 32))
+    named = F.lit(True)
+    for g in group[:required]:
+        named = named & g.isNotNull()
+    keyed = rows.where(F.col(row_id).isNotNull() & named).withColumn("__g", F.substring(key, 1, 32))
     groups = keyed.groupBy("__g").agg(F.min(row_id).alias("first_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     values = F.array(*[
         F.struct(F.lit(name).alias("field_name"), usable[kind](F.col(name)).alias("usable"), (F.col(name) if kind == "text" else F.lit(None).cast("string")).alias("text"))

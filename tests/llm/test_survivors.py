@@ -35,7 +35,7 @@ def test_ties_nulls_and_groups(spark):
     assert chosen(spark, [row(1, "a", channel="beta"), row(2, "b", channel="beta")]) == [(1, "summary", 2)]
     assert chosen(spark, []) == [] and chosen(spark, [row(1), row(2)]) == []
     assert chosen(spark, [row(1, "x" * 200_000 + "y", trust=1), row(2, "x" * 200_000, trust=5)]) == [(1, "summary", 1)]
-    assert chosen(spark, [row(1, None, pid=None), row(2, "b", pid=None)]) == [(1, "summary", 2)]
+    assert chosen(spark, [row(1, "a", pid=None), row(2, "b", pid=None), row(3, "a", version=None), row(4, "b", version=None)]) == []
 
 
 @pytest.mark.parametrize("value, expected", [("fine", True), ("", False), ("  ", False), ("​", False), ("TODO", False), ("&nbsp;", False), ("…", False), (None, False), ("Description goes here", False)])
