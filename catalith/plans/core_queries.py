@@ -15,7 +15,7 @@ from catalith.functions import ids, names
 from catalith.functions import text as tx
 from catalith.operators import calendar, changefeed, changelog, entities, kvstore, merge, resolve, termindex, timestamps
 from catalith.plans.search import RESULTS, SearchRequest, search, search_indexed, substring_match
-from catalith.util import clean_id, table
+from catalith.util import Scratch, clean_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,21 +302,29 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # entity resolution
 
 
-def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per package with what comparison needs, from all of its releases."""
+def _packages(spark: SparkSession, sf_dir: str, sources: bool = True) -> DataFrame:
+    """One row per package with what comparison needs, from all of its releases.
+
+    Without ``sources`` the urls and checksums of upstream sources stay empty, as in
+    ``_PACKAGES_SQL``.  The table has no authors, maintainers and package types.
+    """
     rows = table(spark, sf_dir, "package_versions")
     said = lambda c: F.when(F.trim(c) != "", F.trim(c))
     repo = names.host_path(F.col("repository_url"))
+    none = F.array().cast("array<string>")
+    upstream = F.filter(F.coalesce("artifacts", F.array()), lambda a: F.lower(F.trim(a["kind"])) == "upstream_source")
+    urls = F.array_compact(F.transform(upstream, lambda a: said(a["url"]))) if sources else none
+    sums = F.array_compact(F.flatten(F.transform(upstream, lambda a: F.transform(F.coalesce(a["checksums"], none), names.plain_checksum)))) if sources else none
     rows = rows.select(
         clean_id("package_id").alias("id"), said(F.lower("package_name")).alias("name"), F.col("release_version"), "licenses",
-        F.when(repo.rlike(r"^[^/]+\.example/[^/]+/[^/]+$"), repo).alias("repo"), F.nullif(names.host_path(F.col("homepage")), F.lit("")).alias("page"), F.col("summary"))
+        F.when(repo.rlike(r"^[^/]+\.example/[^/]+/[^/]+$"), repo).alias("repo"), F.nullif(names.host_path(F.col("homepage")), F.lit("")).alias("page"), F.col("summary"), urls.alias("urls"), sums.alias("sums"))
     grouped = rows.groupBy("id").agg(
         F.min("name").alias("name"), F.min("repo").alias("repository"), F.min("page").alias("homepage"), F.collect_set("repo").alias("repositories"),
         F.array_distinct(F.flatten(F.collect_set(F.transform(F.coalesce("licenses", F.array().cast("array<string>")), lambda v: F.lower(F.trim(F.coalesce(v, F.lit(""))))))) ).alias("licenses"),
-        F.collect_set(F.lower(F.trim("release_version"))).alias("versions"), F.max("summary").alias("description"))
+        F.collect_set(F.lower(F.trim("release_version"))).alias("versions"), F.max("summary").alias("description"),
+        F.array_distinct(F.flatten(F.collect_set("urls"))).alias("source_urls"), F.array_distinct(F.flatten(F.collect_set("sums"))).alias("checksums"))
     drop = F.filter("licenses", lambda v: (v != "") & ~v.isin(names.LICENCE_MISSING))
-    none = F.array().cast("array<string>")
-    return grouped.withColumns({"registry": F.substring_index("id", ":", 1), "licenses": drop, "source_urls": none, "checksums": none, "authors": none, "maintainers": none, "package_type": F.lit(None).cast("string")})
+    return grouped.withColumns({"registry": F.substring_index("id", ":", 1), "licenses": drop, "authors": none, "maintainers": none, "package_type": F.lit(None).cast("string")})
 
 
 _PACKAGES_SQL = r"""
@@ -355,23 +363,23 @@ WITH rows AS (
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right" FROM pairs')
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.block_pairs(_packages(spark, sf_dir))
+    return resolve.block_pairs(_packages(spark, sf_dir, sources=False))
 
 
-def _scored(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    packages = _packages(spark, sf_dir)
+def _scored(spark: SparkSession, sf_dir: str, texts: bool = False, sources: bool = True) -> tuple[DataFrame, DataFrame]:
+    packages = _packages(spark, sf_dir, sources)
     return packages, resolve.score_pairs(resolve.block_pairs(packages), packages, texts)
 
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right", confidence FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45')
 def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)[1].select("left", "right", "confidence")
+    return _scored(spark, sf_dir, sources=False)[1].select("left", "right", "confidence")
 
 
 @query(_PACKAGES_SQL + """SELECT "left", "right", CASE WHEN exact THEN 7 WHEN spelled THEN 6 WHEN aliased THEN 3 WHEN repo THEN 1 ELSE 0 END AS priority
 FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45""")
 def merge_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)[1].select("left", "right", "priority")
+    return _scored(spark, sf_dir, sources=False)[1].select("left", "right", "priority")
 
 
 @query()
@@ -388,7 +396,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    packages, scored = _scored(spark, sf_dir, True)
+    scratch = Scratch(spark, "entities")
+    packages = scratch.keep(_packages(spark, sf_dir), "packages")
+    scored = resolve.score_pairs(resolve.block_pairs(packages), packages)
+    scored = scratch.keep(scored.select("left", "right", "confidence", "priority"), "scored")
     roots, decisions = resolve.constrained_merge(packages, scored)
     return packages, roots, decisions
 

@@ -92,6 +92,24 @@ def test_scores(spark, left, right, expected):
     assert got == expected
 
 
+def test_sources_of_packages_are_compared(spark, rows, tmp_path):
+    from catalith.plans import core_queries
+
+    digest = "ab" * 32
+    schema = "package_id string, package_name string, release_version string, licenses array<string>, repository_url string, homepage string, summary string, artifacts array<struct<kind:string,url:string,checksums:array<string>>>"
+    release = lambda pid, *artifacts: (pid, pid.split(":")[1], "1", None, None, None, None, list(artifacts) or None)
+    data = [
+        release("conan:one", ("upstream_source", " https://s.example/one.tgz ", None)), release("vcpkg:uno", ("upstream_source", "https://s.example/one.tgz", None)),
+        release("conan:two", ("upstream_source", None, [f"SHA256={digest.upper()}", None])), release("vcpkg:duo", ("upstream_source", None, [f"sha256:{digest}"])),
+        release("conan:three", ("patch", "https://s.example/p.diff", ["cd" * 32])), release("vcpkg:tres", ("patch", "https://s.example/p.diff", ["cd" * 32])), release("spack:none"),
+    ]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "package_versions.parquet"))
+    assert rows(core_queries.QUERIES["text_similarity"](spark, str(tmp_path)).select("left", "right", "confidence")) == [("conan:one", "vcpkg:uno", 1.0), ("conan:two", "vcpkg:duo", 1.0)]
+    roots = dict(rows(core_queries._entities(spark, str(tmp_path))[1]))
+    assert roots["vcpkg:uno"] == "conan:one" and roots["vcpkg:duo"] == "conan:two" and roots["vcpkg:tres"] == "vcpkg:tres"
+    assert len({r[1] for r in rows(core_queries.QUERIES["entity_ids"](spark, str(tmp_path)))}) == 5
+
+
 def test_constrained_merge(spark, rows):
     frame = spark.createDataFrame([package("a:x", "x"), package("b:x", "x"), package("c:x", "x"), package("a:y", "y"), package("d:z", "z")], resolve.PACKAGE)
     match = lambda *m: spark.createDataFrame(m, "left string, right string, confidence double, priority int")
