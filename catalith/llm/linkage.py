@@ -141,15 +141,21 @@ def packages(found: DataFrame) -> DataFrame:
     return names.select("pid", F.substring_index("pid", ":", 1).alias("registry"), split(F.substring_index("pid", ":", -1)).alias("n")).select("pid", "registry", "n.stem", "n.topic")
 
 
+_ME = ("pid", "stem", "topic", "has_repository", "has_page")
+
+
+def _shared() -> list[Column]:
+    """Whether a pair shares each kind of evidence."""
+    return [F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()]
+
+
 def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs that share evidence or a stem, with the votes of all functions.
 
     Pairs that share nothing but the stem, or a page under different stems, are
     candidates too: from them the model learns how non-matches look.
     """
-    held = found.groupBy("pid").agg(F.max(F.col("kind") == _EVIDENCE["repository"]).alias("has_repository"), F.max(F.col("kind") == _EVIDENCE["page"]).alias("has_page"))
-    facts = known.join(held, "pid")
-    me = F.struct("pid", "stem", "topic", "has_repository", "has_page")
+    facts, me = _facts(found, known), F.struct(*_ME)
     pieces = found.join(facts, "pid").select("kind", "key", me.alias("me"))
     names = facts.where("stem <> ''").select(F.lit(0).cast("tinyint").alias("kind"), F.xxhash64("stem").alias("key"), me.alias("me"))
     pieces = pieces.unionByName(names)
@@ -160,7 +166,31 @@ def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
     later = F.array(*[F.lead("me", k).over(order) for k in range(1, REACH + 1)])
     pairs = salted.select("kind", F.col("me").alias("a"), later.alias("later")).select("kind", "a", F.explode(F.array_compact("later")).alias("b"))
     low, high = F.least("a", "b"), F.greatest("a", "b")  # structs order by pid
-    shared = pairs.select(low.alias("a"), high.alias("b"), "kind").groupBy("a", "b").agg(*[F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()])
+    return _voted(pairs.select(low.alias("a"), high.alias("b"), "kind").groupBy("a", "b").agg(*_shared()))
+
+
+def every_pair(found: DataFrame, known: DataFrame, more: DataFrame) -> DataFrame:
+    """All pairs of different registries that share evidence, and the pairs ``more``, with the votes of all functions.
+
+    A piece gives the square of its packages; ``candidates`` stay linear.
+    """
+    left, right = found.select("kind", "key", F.col("pid").alias("package_a")), found.select("kind", "key", F.col("pid").alias("package_b"))
+    registry = lambda c: F.substring_index(c, ":", 1)
+    pairs = left.join(right, ["kind", "key"]).where((F.col("package_a") < F.col("package_b")) & (registry("package_a") != registry("package_b")))
+    pairs = pairs.select("package_a", "package_b", "kind").unionByName(more.select("package_a", "package_b", F.lit(0).cast("tinyint").alias("kind")))
+    facts = _facts(found, known)
+    side = lambda p: facts.select(F.col("pid").alias(f"package_{p}"), F.struct(*_ME).alias(p))
+    return _voted(pairs.groupBy("package_a", "package_b").agg(*_shared()).join(side("a"), "package_a").join(side("b"), "package_b"))
+
+
+def _facts(found: DataFrame, known: DataFrame) -> DataFrame:
+    """What the functions that compare packages need of each."""
+    held = found.groupBy("pid").agg(F.max(F.col("kind") == _EVIDENCE["repository"]).alias("has_repository"), F.max(F.col("kind") == _EVIDENCE["page"]).alias("has_page"))
+    return known.join(held, "pid")
+
+
+def _voted(shared: DataFrame) -> DataFrame:
+    """Pairs a, b and the evidence they share, with the votes of all functions."""
     differ = lambda k: F.when(F.col(k) == 1, 1).when(F.col(f"a.has_{k}") & F.col(f"b.has_{k}"), -1).otherwise(0)
     name = F.when(F.col("a.stem") == F.col("b.stem"), 1).otherwise(-1)
     topic = F.when((F.col("a.topic") != "") & (F.col("b.topic") != ""), F.when(F.col("a.topic") == F.col("b.topic"), 1).otherwise(-1)).otherwise(0)
@@ -174,30 +204,41 @@ def _several_topics(found: DataFrame, known: DataFrame) -> DataFrame:
     return inside.where("topic = ''").join(many.select("key", "stem"), ["key", "stem"], "left_semi").select("pid").distinct()
 
 
-def score(votes: DataFrame) -> DataFrame:
-    """``votes`` with the confidence of each pair, by a label model of the vote patterns."""
+def _topics_apart(votes: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """``votes`` of pairs a, b by their ids; a component without topic is none of the others."""
+    votes = votes.select(F.col("a.pid").alias("package_a"), F.col("b.pid").alias("package_b"), *FUNCTIONS)
+    unclear = _several_topics(found, known)
+    votes = votes.join(unclear.select(F.col("pid").alias("package_a"), F.lit(1).alias("ua")), "package_a", "left").join(unclear.select(F.col("pid").alias("package_b"), F.lit(1).alias("ub")), "package_b", "left")
+    return votes.withColumn("topic", F.when((F.col("topic") == 0) & (F.coalesce("ua", F.lit(0)) != F.coalesce("ub", F.lit(0))), -1).otherwise(F.col("topic"))).drop("ua", "ub")
+
+
+def score(votes: DataFrame, model: LabelModel | None = None) -> tuple[DataFrame, LabelModel | None]:
+    """(``votes`` with the confidence of each pair, model): by a label model, fitted on their patterns if none is given."""
     counted = votes.groupBy(*FUNCTIONS).count().collect()  # at most 3 ** len(FUNCTIONS) rows
     if not counted:
-        return votes.withColumn("confidence", F.lit(0.0))
+        return votes.withColumn("confidence", F.lit(0.0)), model
     patterns = np.array([[r[f] for f in FUNCTIONS] for r in counted], dtype=np.int64)
     # components of one repository are different by definition: they'd teach the functions that sharing means nothing
     open_ = patterns[:, FUNCTIONS.index("topic")] >= 0
-    model = LabelModel(len(FUNCTIONS)).fit(patterns[open_], np.array([r["count"] for r in counted], dtype=float)[open_])
+    model = model or LabelModel(len(FUNCTIONS)).fit(patterns[open_], np.array([r["count"] for r in counted], dtype=float)[open_])
     rows = [(*map(int, p), float(c) if o else 0.0) for p, c, o in zip(patterns, model.posterior(patterns), open_, strict=True)]
     scored = votes.sparkSession.createDataFrame(rows, ", ".join(f"{f} int" for f in FUNCTIONS) + ", confidence double")
-    return votes.join(F.broadcast(scored), FUNCTIONS)
+    return votes.join(F.broadcast(scored), FUNCTIONS), model
 
 
-def link_packages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scored candidates, (pid, registry)): every candidate pair a, b with its confidence."""
-    scratch = Scratch(rows.sparkSession, "linkage")
+def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, LabelModel | None]:
+    """(evidence, packages, scored candidates, model)."""
     found = scratch.keep(evidence(rows), "evidence")
     known = scratch.keep(packages(found), "packages")
-    votes = candidates(found, known).select(F.col("a.pid").alias("package_a"), F.col("b.pid").alias("package_b"), *FUNCTIONS)
-    unclear = _several_topics(found, known)
-    votes = votes.join(unclear.select(F.col("pid").alias("package_a"), F.lit(1).alias("ua")), "package_a", "left").join(unclear.select(F.col("pid").alias("package_b"), F.lit(1).alias("ub")), "package_b", "left")
-    votes = votes.withColumn("topic", F.when((F.col("topic") == 0) & (F.coalesce("ua", F.lit(0)) != F.coalesce("ub", F.lit(0))), -1).otherwise(F.col("topic"))).drop("ua", "ub")
-    return scratch.keep(score(scratch.keep(votes, "votes")), "scored"), known.select("pid", "registry")
+    votes = scratch.keep(_topics_apart(candidates(found, known), found, known), "votes")
+    scored, model = score(votes)
+    return found, known, scratch.keep(scored, "scored"), model
+
+
+def link_packages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scored candidates, (pid, registry)): every candidate pair a, b with its confidence."""
+    _, known, scored, _ = _linked(rows, Scratch(rows.sparkSession, "linkage"))
+    return scored, known.select("pid", "registry")
 
 
 def _links(scored: DataFrame) -> DataFrame:
@@ -210,9 +251,8 @@ def _with_evidence(scored: DataFrame) -> DataFrame:
     return scored.where(F.greatest(*[F.col(k) for k in _EVIDENCE]) > 0)
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(package_a, package_b) of all packages of one project in different registries."""
-    scored, known = link_packages(table(spark, sf_dir, "package_versions"))
+def _project_pairs(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """(package_a, package_b) of different registries within the projects that the links give."""
     groups = consolidate(_links(scored), "package_a", "package_b", [F.lit(0)])
     members = groups.join(known, F.col("member") == F.col("pid")).select("group", "member", "registry")
     other = members.select("group", F.col("member").alias("package_b"), F.col("registry").alias("other"))
@@ -220,8 +260,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("member").alias("package_a"), "package_b")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package_a, package_b) of all packages of one project in different registries."""
+    scored, known = link_packages(table(spark, sf_dir, "package_versions"))
+    return _project_pairs(scored, known)
+
+
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(package_a, package_b, confidence, votes): every pair of different registries that shares evidence."""
-    scored, _ = link_packages(table(spark, sf_dir, "package_versions"))
-    different = F.substring_index("package_a", ":", 1) != F.substring_index("package_b", ":", 1)
-    return _with_evidence(scored).where(different).select("package_a", "package_b", F.round("confidence", 6).alias("confidence"), *FUNCTIONS)
+    """(package_a, package_b, confidence, votes): every pair of different registries that shares evidence, and every pair of p5_found.
+
+    The confidence is that of the pair's own votes, by the model fitted on the
+    candidates; a pair of p5_found that only other packages connect may have a low one.
+    """
+    scratch = Scratch(spark, "linkage")
+    found, known, scored, model = _linked(table(spark, sf_dir, "package_versions"), scratch)
+    votes = _topics_apart(every_pair(found, known, _project_pairs(scored, known)), found, known)
+    out, _ = score(scratch.keep(votes, "pairs"), model)
+    return out.select("package_a", "package_b", F.round("confidence", 6).alias("confidence"), *FUNCTIONS)

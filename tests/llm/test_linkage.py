@@ -71,3 +71,21 @@ def test_hot_pieces_keep_pairs_of_one_stem(spark, monkeypatch):
     plain = same()
     monkeypatch.setattr(linkage, "HOT", 10)
     assert same() == plain and len(plain) == 3 * len(stems)
+
+
+def test_confidence_of_every_pair(spark, rows, tmp_path):
+    digest = "ab" * 32
+    data = [(f"{reg}:{'bdfgk'[i % 5]}{'aeiou'[i // 5]}ruka", reg, f"https://forge.example/o{i}/p{i}", None, [source(f"https://a.example/{i}.tgz", f"{i:064x}")], None) for i in range(25) for reg in ("conan", "vcpkg")]
+    data += [
+        ("conan:zoruta", "conan", None, None, [source(None, digest)], None), ("vcpkg:libzoruta", "vcpkg", None, None, [source("https://a.example/z.tgz", digest)], None),
+        ("spack:zoruta-cpp", "spack", None, None, [source("https://a.example/z.tgz")], None),
+    ]
+    many = [f"{reg}:{name}" for reg, name in zip(("bazel", "conan", "cppget", "hunter", "meson", "spack", "vcpkg", "xmake"), ("bako", "dimu", "fose", "gati", "hune", "jopa", "kelo", "luri"), strict=True)]
+    data += [(p, p.split(":")[0], "https://forge.example/shared/all", None, None, None) for p in many]
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "package_versions.parquet"))
+    scored = {r[:2]: r for r in rows(linkage.p5_confidence(spark, str(tmp_path)))}
+    assert {(a, b) for a in many for b in many if a < b} <= set(scored)
+    found = set(rows(linkage.p5_found(spark, str(tmp_path))))
+    assert ("conan:zoruta", "spack:zoruta-cpp") in found and found <= set(scored)
+    kept = {r["package_a"] + r["package_b"]: round(r["confidence"], 6) for r in linkage._with_evidence(linkage.link_packages(spark.read.parquet(str(tmp_path / "package_versions.parquet")))[0]).collect()}
+    assert all(scored[k][2] == kept[k[0] + k[1]] for k in scored if k[0] + k[1] in kept)
