@@ -5,7 +5,7 @@ project pages, and urls and checksums of upstream sources (never of patches or o
 the registry's own files).  Packages that share a piece are candidates, and so are packages of one name stem; within a
 piece the packages are sorted by name and each is paired with the next few, so a
 piece that a third of all packages share costs no more than its rows; a hot
-piece is split by name before it is sorted.  Matching
+piece is sorted by ranges, with the same neighbours.  Matching
 functions vote on each candidate; a generative label model learns their
 accuracies and correlations from the counts of the vote patterns and gives each
 candidate a confidence.  Confident links are consolidated into projects, and the
@@ -37,8 +37,8 @@ from catalith.util import Scratch, broadcast_if_small, clean_id, table
 
 #: Packages after a package that it is paired with within a piece of evidence.
 REACH = 3
-#: Packages from which a piece of evidence is hot, and parts that it is split into.
-HOT, SALTS = 20_000, 256
+#: Packages above which a piece of evidence is hot and sorted by ranges.
+HOT = 20_000
 #: A name part is a topic if it goes with so many others, and with this share of all packages.
 TOPIC_PARTNERS, TOPIC_SHARE = 8, 0.0005
 #: Confidence of a link.
@@ -159,16 +159,38 @@ def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
     pieces = found.join(facts, "pid").select("kind", "key", me.alias("me"))
     names = facts.where("stem <> ''").select(F.lit(0).cast("tinyint").alias("kind"), F.xxhash64("stem").alias("key"), me.alias("me"))
     pieces = pieces.unionByName(names)
-    hot = pieces.groupBy("kind", "key").count().where(F.col("count") > HOT).select("kind", "key", F.lit(True).alias("hot"))
-    # a hot piece is split by stem; packages of one stem stay together and in order
-    salted = pieces.join(broadcast_if_small(hot), ["kind", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("me.stem"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy("kind", "key", "salt").orderBy("me.stem", "me.topic", "me.pid")
-    later = F.array(*[F.lead("me", k).over(order) for k in range(1, REACH + 1)])
-    pairs = salted.select("kind", F.col("me").alias("a"), later.alias("later")).select("kind", "a", F.explode(F.array_compact("later")).alias("b"))
+    later = _following(pieces, ["me.stem", "me.topic", "me.pid"])
+    pairs = later.select("kind", F.col("me").alias("a"), F.explode("later").alias("b"))
     low, high = F.least("a", "b"), F.greatest("a", "b")  # structs order by pid
     return _voted(pairs.select(low.alias("a"), high.alias("b"), "kind").groupBy("a", "b").agg(*_shared()))
 
 
+def _following(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """``pieces`` with the next REACH packages of the piece in ``later``.
+
+    Hot pieces are sorted by ranges of (piece, order); each range knows the first
+    packages of the ranges after it, so the neighbours don't depend on the split.
+    """
+    piece = ["kind", "key"]
+    leads = lambda w: F.array_compact(F.array(*[F.lead("me", k).over(w) for k in range(1, REACH + 1)]))
+    whole = Window.partitionBy(*piece).orderBy(*order)
+    hot = pieces.groupBy(*piece).count().where(F.col("count") > HOT).select(*piece)
+    if hot.isEmpty():
+        return pieces.withColumn("later", leads(whole))
+    scratch = Scratch(pieces.sparkSession, "hot")
+    hot = broadcast_if_small(scratch.keep(hot, "pieces"))
+    ranged = pieces.join(hot, piece, "left_semi").repartitionByRange(*piece, *order)
+    ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    here = Window.partitionBy(*piece, "part").orderBy(*order)
+    heads = ranged.withColumn("n", F.row_number().over(here)).where(F.col("n") <= REACH)
+    heads = heads.groupBy(*piece, "part").agg(F.array_sort(F.collect_list(F.struct("n", "me"))).alias("head"))
+    after = F.flatten(F.collect_list("head").over(Window.partitionBy(*piece).orderBy("part").rowsBetween(1, REACH)))
+    ends = heads.select(*piece, "part", F.transform(after, lambda h: h["me"]).alias("after"))
+    split = ranged.withColumn("later", leads(here)).join(ends, [*piece, "part"])
+    split = split.select(*piece, "me", F.slice(F.concat("later", "after"), 1, REACH).alias("later"))
+    return pieces.join(hot, piece, "left_anti").withColumn("later", leads(whole)).unionByName(split)
+
+
 def every_pair(found: DataFrame, known: DataFrame, more: DataFrame) -> DataFrame:
     """All pairs of different registries that share evidence, and the pairs ``more``, with the votes of all functions.
 

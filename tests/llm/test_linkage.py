@@ -89,3 +89,22 @@ def test_confidence_of_every_pair(spark, rows, tmp_path):
     assert ("conan:zoruta", "spack:zoruta-cpp") in found and found <= set(scored)
     kept = {r["package_a"] + r["package_b"]: round(r["confidence"], 6) for r in linkage._with_evidence(linkage.link_packages(spark.read.parquet(str(tmp_path / "package_versions.parquet")))[0]).collect()}
     assert all(scored[k][2] == kept[k[0] + k[1]] for k in scored if k[0] + k[1] in kept)
+
+
+def test_hot_pieces_keep_neighbours_of_all_stems(spark, monkeypatch):
+    stems = ["".join((a, b, "ruka")) for a in "bdfgk" for b in "aeiou"]
+    data = [(f"{reg}:{s}", reg, None, "https://shared.example/family", None, None) for s in stems for reg in ("conan", "vcpkg", "spack")]
+    found = linkage.evidence(spark.createDataFrame(data, SCHEMA))
+    known = linkage.packages(found)
+    pairs = lambda: sorted((r["a"]["pid"], r["b"]["pid"], r["page"]) for r in linkage.candidates(found, known).collect())
+    plain = pairs()
+    monkeypatch.setattr(linkage, "HOT", 10)
+    assert pairs() == plain and len({p[:2] for p in plain if p[0].split(":")[1] != p[1].split(":")[1]}) > len(stems)
+    for count in ("1", "40"):  # one range, and ranges of a package or two
+        spark.conf.set("spark.sql.shuffle.partitions", count)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert pairs() == plain
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
