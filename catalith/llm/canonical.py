@@ -9,8 +9,8 @@ runs where the rows are: no shuffle, and each task remembers what it resolved.
 Defined cases: null and blank entries and literal ids of the list are no cases;
 a value that names none, or leaves the version or a choice open that the list
 distinguishes, gives one row with an empty id; an entry that joins two names
-gives a row for each that is named; a repeated name counts once; very long
-entries (over 400 characters) are free text and name none.
+gives a row for each that is named; a repeated name counts once; an entry may
+be of any length.
 """
 
 from __future__ import annotations
@@ -135,8 +135,6 @@ class Resolver:
     def resolve(self, value: str) -> tuple[str, ...]:
         """Ids that the value names, sorted; ('',) if none is named."""
         text = re.sub(r"\s+", " ", value.replace("\u200b", " ")).strip()
-        if len(text) > 400:
-            return ("",)
         before = None
         while before != text:
             before, text = text, _WRAP.sub("", text).strip()

@@ -55,3 +55,22 @@ def test_symmetric_deletes_find_what_brute_force_finds():
 def test_distance():
     assert weighted_distance("abc", "abc") == 0 and weighted_distance("abcd", "abdc") == 0.6 and weighted_distance("abc", "abbc") == 0.6
     assert weighted_distance("abc", "xbc") == 1.2 and weighted_distance("", "ab") == 2
+
+
+@pytest.mark.parametrize("value, expected", [
+    (f"Oakheart [{'some note ' * 60}]", ["Oak"]), (f"https://l.example/{'a/' * 250}Oakheart.html", ["Oak"]), (" / ".join(["Oakheart", "QPL 2.0 only"] * 30), ["Oak", "QPL-2.0-only"]),
+    (f"Oakheart {'zzyx wvut ' * 60}", [""]),
+])
+def test_long_entries(value, expected):
+    assert len(value) > 400
+    rows = [(i.replace("Oak", "Oakheart"), n, s, f) for i, n, s, f in LIST]
+    assert sorted(v.replace("Oakheart", "Oak") for v in found(Resolver(rows, {}), value)) == expected
+
+
+def test_long_entries_take_little_time():
+    import time
+
+    begun = time.perf_counter()
+    for value in ("a" * 20_000, "x://" + "a/" * 10_000 + " ", "[" * 20_000, "(see " * 4_000, " " * 20_000 + "x", "a b " * 5_000, "x://" + "a" * 20_000, "; " * 10_000):
+        Resolver(LIST, {}).resolve(value)
+    assert time.perf_counter() - begun < 30
