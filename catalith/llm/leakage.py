@@ -43,8 +43,6 @@ BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
 Q = 9
 #: Share of a passage's words that makes a case.
 SHARE = 0.3
-#: Pieces that an interrupted case may fall into.
-PIECES = 4
 #: Characters hashed at a time.
 STEP = 2_000_000
 #: Edits a character of the quoted stretch that the filter must forgive.
@@ -55,8 +53,8 @@ BAND = 32
 LEAST_IN_BAND = 10
 #: Cost of a missing word against 1 for a match: a stretch must hold three quarters of its words.
 MISSING = 3.0
-#: Words of the shortest piece; words that may be missing or doubled between pieces; characters that an interruption may have.
-LEAST_WORDS, GAP, OVERLAP, INTERRUPTION = 5, 3, 2, 3_000
+#: Words of the shortest piece; words that may be missing or doubled between pieces.
+LEAST_WORDS, GAP, OVERLAP = 5, 3, 2
 #: Passages that must share their first sentence for it to be an instruction.
 SHARED_BY = 3
 
@@ -168,7 +166,7 @@ class Index:
         keys = np.concatenate((item << 32 | cell, item << 32 | (cell - 1)))
         places, texts = np.concatenate((place, place)), np.concatenate((text, text))
         bands, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        kept = counts >= np.maximum(LEAST_IN_BAND, self.asked[bands >> 32] // PIECES)
+        kept = counts >= LEAST_IN_BAND
         if not kept.any():
             return []
         use = kept[inverse]
@@ -269,7 +267,7 @@ def longest_chain(pieces: list[tuple[int, int, int, int]]) -> int:
         begin = a
         for m in range(n):
             b0, jb0 = pieces[m][1], pieces[m][3]
-            if pieces[m][0] < a and b > b0 and b0 - OVERLAP < a <= b0 + 1 + GAP and jb0 < ja + 8 * OVERLAP and ja - jb0 <= INTERRUPTION:
+            if pieces[m][0] < a and b > b0 and b0 - OVERLAP < a <= b0 + 1 + GAP and jb0 < ja + 8 * OVERLAP:
                 begin = min(begin, begins[m])
         begins.append(begin)
         best = max(best, b - begin + 1)

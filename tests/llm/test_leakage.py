@@ -64,3 +64,15 @@ def test_pieces():
     assert leakage.dense_pieces([0, 1, 2, 3, 4, 30, 31, 32, 33, 34, 35]) == [(5, 10), (0, 4)]
     assert leakage.dense_pieces([0, 5, 10, 15]) == [] and leakage.dense_pieces([]) == []
     assert leakage.longest_chain([(0, 9, 0, 50), (10, 19, 300, 350), (25, 30, 10, 20)]) == 20 and leakage.longest_chain([]) == 0
+
+
+def test_quotations_in_many_or_distant_parts(spark):
+    long = passage(200, seed=77)
+    words = long.split()
+    parts = " ".join(noise(30, 20 + k) + " " + " ".join(words[8 * k : 8 * k + 8]) for k in range(8))
+    distant = " ".join(words[:40]) + " " + noise(600, 40) + " " + " ".join(words[40:80])
+    little = " ".join(words[:40]) + " " + noise(600, 41)
+    frame = spark.createDataFrame([(1, parts), (2, distant), (3, little)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, long)], "item_id long, passage string")
+    got = leakage.find_leaks(frame, "doc_id", "text", items, "item_id", "passage").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 5), (2, 5)}
