@@ -39,8 +39,8 @@ def next_after(events: DataFrame, start: str, day: Column, cancelled: Column, or
     return events.where((F.col(start) > day) & ~cancelled).orderBy(start, *order).limit(1)
 
 
-def ical_feed(events: DataFrame, name: str) -> DataFrame:
-    """(document): events as one iCalendar text, escaped and in order of start and uid.
+def ical_feed(events: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """(by, document): events as one iCalendar text per value of ``by``, escaped and in order of start and uid.
 
     One row per calendar is the form of this sink; write calendars by source to keep them small.
     """
@@ -51,4 +51,4 @@ def ical_feed(events: DataFrame, name: str) -> DataFrame:
         F.concat(F.lit("DTEND;VALUE=DATE:"), stamp(F.date_add(F.coalesce("end_date", "start_date"), 1))), F.concat(F.lit("SUMMARY:"), safe(F.col("title"))),
         F.concat(F.lit("DESCRIPTION:"), safe(F.col("description"))), F.concat(F.lit("LOCATION:"), safe(F.col("location"))), F.concat(F.lit("STATUS:"), F.upper("status")), F.lit("END:VEVENT"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_date", "uid", lines.alias("l")))), lambda x: x["l"]), "\r\n")
-    return events.agg(F.concat(F.lit(f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//{name}//EN\r\n"), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("document"))
+    return events.groupBy(*(by or [])).agg(F.concat(F.lit(f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//{name}//EN\r\n"), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("document"))

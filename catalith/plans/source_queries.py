@@ -50,11 +50,12 @@ def calendar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def calendar_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One calendar document per nation, of its suppliers as events."""
-    nations = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("string").alias("uid"), F.lit("2026-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"),
-        F.col("n_name").alias("title"), F.lit("a, b; c\nd").alias("description"), F.lit("").alias("location"), F.lit("confirmed").alias("status"))
-    return calendar.ical_feed(nations, "catalith")
+    """(nation, document): one calendar document per nation that has suppliers, of its suppliers as events."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "nation", F.col("s_suppkey").cast("string").alias("uid"), F.lit("2026-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"),
+        F.col("s_name").alias("title"), F.lit("a, b; c\nd").alias("description"), F.lit("").alias("location"), F.lit("confirmed").alias("status"))
+    return calendar.ical_feed(suppliers, "catalith", ["nation"])
 
 
 _PORTS_SQL = "SELECT lower(trim(package_id)) AS pid, trim(lower(release_version)) AS ver FROM package_versions WHERE trim(package_id) <> '' AND trim(release_version) <> ''"

@@ -145,3 +145,13 @@ def test_calendar(spark, rows):
     assert rows(days.groupBy("t").count()) == [("long", 4), ("one", 1)]
     assert calendar.grid(spark, "2025-02").count() == 42 and str(calendar.grid(spark, "2025-02").orderBy("day").first()["day"]) == "2025-01-27"
     assert rows(calendar.next_after(events, "s", F.to_date(F.lit("2025-01-31")), F.lit(False), ["t"]).select("t")) == [("one",)]
+
+
+def test_calendar_feed_holds_suppliers(spark, small):
+    from catalith.plans import source_queries
+    from catalith.util import table
+
+    feeds = {r["nation"]: r["document"] for r in source_queries.calendar_feed(spark, small).collect()}
+    suppliers = table(spark, small, "supplier").join(table(spark, small, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).collect()
+    assert set(feeds) == {r["n_name"] for r in suppliers} and sum(d.count("BEGIN:VEVENT") for d in feeds.values()) == len(suppliers)
+    assert all(f"SUMMARY:{r['s_name']}\r\n" in feeds[r["n_name"]] for r in suppliers)
