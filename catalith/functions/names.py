@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def spelling(name: Column) -> Column:
@@ -49,17 +45,30 @@ def expand_scheme(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^github:", "https://github.com/"), r"^git\+", "")
 
 
-@F.pandas_udf(StringType())
-def image_url(base: pd.Series, value: pd.Series) -> pd.Series:
-    """An image address resolved against its page; '' for none and for a bare root."""
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise(""))
+
 
-    def one(b: str | None, v: str | None) -> str:
-        if not v or not v.strip():
-            return ""
-        full = urljoin(b or "", v.strip())
-        return full if urlsplit(full).path not in ("", "/") else ""
+def resolved_url(base: Column, value: Column) -> Column:
+    """An address resolved against the page that holds it; without a base it stays as it is."""
+    v, b = F.trim(value), F.coalesce(base, F.lit(""))
+    scheme, origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
+    path, tail = F.regexp_extract(v, r"^([^?#]*)", 1), F.regexp_extract(v, r"^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), v).when(v.startswith("//"), F.concat(scheme, F.lit(":"), v)).otherwise(F.concat(origin, _without_dots(whole), tail))
 
-    return pd.Series([one(b, v) for b, v in zip(base, value, strict=True)])
+
+def image_url(base: Column | str, value: Column | str) -> Column:
+    """An image address resolved against its page; '' for none and for a bare root."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    v = F.trim(F.coalesce(column(value), F.lit("")))
+    full = resolved_url(column(base), v)
+    path = F.regexp_extract(full, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.when((v == "") | path.isin("", "/"), "").otherwise(full)
 
 
 def clean_list(values: Column) -> Column:

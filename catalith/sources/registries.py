@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.text import render
+from catalith.functions.prose import prose
 from catalith.sources.grammars import cmake_commands, dependency_names, first_call, ini, manifests, method_calls, module_file, recipe_class
 
 RECORD = (
@@ -69,8 +69,8 @@ def _option(value: Any) -> str:
 
 
 def _record(registry: str, name: str, **fields: Any) -> dict:
-    text = render(fields.pop("prose", "") or "")
-    row = {"id": f"{registry}:{name}", "registry": registry, "name": name, "summary": text["summary_text"] or None, "description": text["body_html"] or None}
+    text = prose(fields.pop("prose", ""))
+    row = {"id": f"{registry}:{name}", "registry": registry, "name": name, "summary": text.summary_text or None, "description": text.body_html or None}
     return row | {k: v if v not in ("", [], {}) else None for k, v in fields.items()}
 
 
@@ -211,7 +211,7 @@ def cppget(key: str, files: Files) -> list[dict]:
                 continue
             wanted = dependency_names(m.get("depends", []))
             new = _record("cppget", name, prose=one("description") or one("summary"), licenses=_clean(m.get("license", [])), homepage=one("url"), repository_url=_repository(one("src-url") or one("url")), topics=_clean(m.get("topics", []) + m.get("keywords", [])), versions=[])
-            new["summary"] = render(one("summary"))["summary_text"] or None
+            new["summary"] = prose(one("summary")).summary_text or None
             row = rows.setdefault(name, new | {"versions": []})
             for k in ("repository_url", "description", "homepage", "licenses"):
                 row[k] = row[k] or new[k]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from catalith.functions import names
-from catalith.functions.text import feed_text, strip_tags, unescaped
+from catalith.functions.text import entities_decoded, feed_text, strip_tags
 from catalith.sources.feeds import attributes, favicon, meta_values, title
 
 # Words that mark a picture as a page's own, and classes of a page's subtitle by rank.
@@ -108,29 +108,56 @@ def pages(documents: DataFrame) -> DataFrame:
     said = lambda k: F.nullif(F.trim(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(""))), F.lit(""))
     second = F.regexp_extract("title", r"\s+[–—|]\s+(.*)$", 1)
     description = F.coalesce(F.nullif("sub", F.lit("")), said("og:description"), said("description"), second)
-    return read.select("source", "url", unescaped(strip_tags(description)).alias("description"), names.clean_list(F.split(F.coalesce(said("keywords"), F.lit("")), ",")).alias("keywords"), avatar(F.col("document"), F.col("url")).alias("avatar_url"))
+    return read.select("source", "url", entities_decoded(strip_tags(description)).alias("description"), names.clean_list(F.split(F.coalesce(said("keywords"), F.lit("")), ",")).alias("keywords"), avatar(F.col("document"), F.col("url")).alias("avatar_url"))
+
+
+def _style_image(page: Column, community: Column, name: str) -> Column:
+    """Address of a community's picture among a page's style files; '' for none."""
+    found = F.filter(F.regexp_extract_all(page, F.lit(rf"""(?i)https?://styles\.redditmedia\.com/[^/"' <>]+/styles/{name}[^"' <>]+"""), F.lit(0)), lambda u: F.lower(u).contains(F.concat(F.lit("redditmedia.com/"), F.lower(community), F.lit("/styles/"))))
+    plain = entities_decoded(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))
+    return F.regexp_replace(F.regexp_extract(plain, r"""^([^"' <>]*)""", 1), r"[);]+$", "")
+
+
+def forums(documents: DataFrame) -> DataFrame:
+    """(source, description, avatar_url, banner_url, weekly_visitors, weekly_contributions) of forum pages (source, document).
+
+    All is in the attributes of the page's header element, pictures also among its
+    style files; a page without that element is an error.
+    """
+    header = F.regexp_extract("document", r"<shreddit-subreddit-header\s+([^>]+)>", 1)
+    checked = documents.where("document IS NOT NULL").withColumn("h", F.when(header != "", header).otherwise(F.raise_error(F.concat(F.lit("no community in page of "), F.col("source"))).cast("string")))
+    read = checked.withColumn("a", attributes(F.col("h")))
+    said = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at("a", F.lit(k)), F.lit("")) for k in keys])
+    here = F.coalesce(said("subreddit-id"), F.lit(""))
+    picture = lambda name, *keys: entities_decoded(F.coalesce(said(*keys), _style_image(F.col("document"), here, name)))
+    return read.select(
+        "source", F.trim(entities_decoded(F.coalesce(said("description"), F.lit("")))).alias("description"),
+        picture("communityIcon", "icon-url", "community-icon").alias("avatar_url"), picture("bannerBackgroundImage", "banner-background-image", "banner-img", "mobile-banner-image").alias("banner_url"),
+        said("weekly-active-users").alias("weekly_visitors"), said("weekly-contributions").alias("weekly_contributions"))
 
 
 def communities(documents: DataFrame) -> DataFrame:
-    """(source, description, avatar_url, banner_url, members) by kind: discord, stackoverflow or web (source, kind, url, document).
+    """(source, description, avatar_url, banner_url, members) by kind: discord, stackoverflow, reddit or web (source, kind, url, document).
 
     Another kind is an error.
     """
     invite, tags = F.from_json("document", _INVITE), F.from_json("document", _TAGS)
-    known = documents.withColumn("kind", F.when(F.col("kind").isin("discord", "stackoverflow", "web"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown community: "), F.coalesce("kind", F.lit("null")))).cast("string")))
+    kinds = ("discord", "stackoverflow", "reddit", "web")
+    known = documents.withColumn("kind", F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown community: "), F.coalesce("kind", F.lit("null")))).cast("string")))
     blank = F.lit("")
     image = lambda part, hash_, ending: F.when(F.coalesce(hash_, blank) != "", F.concat(F.lit(f"https://cdn.discordapp.com/{part}/"), invite["guild"]["id"], F.lit("/"), hash_, F.lit(ending))).otherwise(blank)
     meta = meta_values(F.col("document"))
     said = lambda k: F.coalesce(F.try_element_at(meta, F.lit(k)), blank)
     is_ = lambda k: F.col("kind") == k
-    out = known.select(
+    out = known.where(~is_("reddit")).select(
         "source", "url",
         F.when(is_("discord"), F.coalesce(invite["guild"]["description"], blank)).when(is_("stackoverflow"), F.coalesce(F.try_element_at(tags["items"], F.lit(1))["excerpt"], blank)).otherwise(F.coalesce(F.nullif(said("og:description"), blank), said("description"))).alias("description"),
         F.when(is_("discord"), image("icons", invite["guild"]["icon"], ".png?size=512")).when(is_("web"), F.coalesce(F.nullif(said("og:logo"), blank), favicon(F.col("document")))).otherwise(blank).alias("avatar_url"),
         F.when(is_("discord"), image("banners", invite["guild"]["banner"], ".jpg?size=1024")).when(is_("web"), said("og:image")).otherwise(blank).alias("banner_url"),
         F.when(is_("discord"), invite["approximate_member_count"]).alias("members"))
     resolve = lambda c: F.when(F.col(c) == "", blank).otherwise(names.image_url("url", c)).alias(c)
-    return out.select("source", F.trim("description").alias("description"), resolve("avatar_url"), resolve("banner_url"), "members")
+    others = out.select("source", F.trim("description").alias("description"), resolve("avatar_url"), resolve("banner_url"), "members")
+    return others.unionByName(forums(known.where(is_("reddit"))).select("source", "description", "avatar_url", "banner_url", F.lit(None).cast("long").alias("members")))
 
 
 def books(editions: DataFrame, works: DataFrame) -> DataFrame:

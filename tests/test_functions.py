@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.functions import ids, names
+from catalith.functions import ids, names, prose
 from catalith.functions import text as tx
 
 
@@ -20,17 +20,36 @@ def test_terms(spark):
 @pytest.mark.parametrize("text, limit, expected", [("short", 10, "short"), ("one two three four", 9, "one two…"), ("one, two three", 8, "one, two…"), ("x" * 30, 10, "x" * 11 + "…"), ("ab " + "x" * 30, 10, "ab xxxxxxx…")])
 def test_truncate(spark, text, limit, expected):
     assert one(spark, tx.truncate(F.col("t"), limit), t=text) == expected
-    assert tx.shorten(text, limit)[0] == expected
-
-
-def test_render():
-    plain = tx.render("One <b> paragraph")
-    assert plain["body_html"] == "One &lt;b&gt; paragraph" and plain["detected_format"] == "plain" and not plain["truncated"]
-    several = tx.render("# Head\n\n[![x](y)](z)\n\n- a\n- **b**\n\n\n\nlast `code`\0")
-    assert several["body_html"] == "<h1>Head</h1>\n<ul><li>a</li><li><strong>b</strong></li></ul>\n<p>last <code>code</code></p>"
-    assert tx.render("a\n\nb\n\nc", block_limit=2)["truncated"] and tx.render(None)["summary_text"] == ""
-    assert len(tx.render("word " * 100)["summary_text"]) <= 161
-    assert tx.excerpt("<p>first&amp;</p><div>second</div><p>third</p>")["summary_text"] == "first& second"
+    assert prose.cut_behind_word(text, limit) == expected
+
+
+def test_prose(spark):
+    plain = prose.prose("One <b> paragraph")
+    assert plain == ("One <b> paragraph", "One &lt;b&gt; paragraph", "One &lt;b&gt; paragraph", "plain", False)
+    several = prose.prose("# Head\n\n[![x](y)](z)\n\n- a\n- **b**\n  more\n\n\n\n1. one\n\n> said\n\n```\n a < *b*\n\n```\nlast `code` [x](javascript:y) [z](https://z.org)\0")
+    assert several.body_html.split("\n", 3)[:3] == ["<h1>Head</h1>", "<ul><li>a</li><li><strong>b</strong> more</li></ul>", "<ol><li>one</li></ol>"]
+    assert several.body_html.endswith('<pre><code> a &lt; *b*\n</code></pre>\n<p>last <code>code</code> <a href="#">x</a> <a href="https://z.org">z</a></p>')
+    assert several.detected_format == "markdown" and several.summary_text == "Head a b more one said a < *b* last code x z"
+    assert prose.prose("First.\nline\n\nSecond.").body_html == "<p>First.<br>line</p><p>Second.</p>"
+    cut = prose.prose("a\n\nb\n\nc", block_limit=2)
+    assert cut.truncated and cut.body_html == "<p>a</p><p>b</p>" and prose.prose(None) == ("", "", "", "plain", False)
+    assert len(prose.prose("word " * 100).summary_text) <= 161 and len(prose.prose("word " * 100, body_limit=40).body_html) < 80
+    assert prose.prose("<script>alert(1)</script> **safe**").body_html == "&lt;script&gt;alert(1)&lt;/script&gt; <strong>safe</strong>"
+    short = prose.excerpt("<h1>Package</h1><p>Useful &amp; <b>good</b>.</p><p>Unneeded.</p>")
+    assert short.body_html == "<p>Package</p><p>Useful &amp; good.</p>" and short.truncated and prose.excerpt(None).body_html == ""
+    assert prose.excerpt("<p>" + "x" * 9 + "</p>", body_limit=4) == ("xxxx", "xxxx", "xxxx", "plain", True)
+    frame = spark.createDataFrame([("*a* `b`",), (None,)], "t string").select(prose.rendered(F.col("t")).alias("r"), prose.excerpted(F.col("t")).alias("e"))
+    assert [(r["r"]["summary_text"], r["e"]["summary_text"]) for r in frame.collect()] == [("a b", "*a* `b`"), ("", "")]
+
+
+def test_entities(spark):
+    for text, expected in (("a &amp; b&lt;&#233;&#x1F600;&nope; &apos; & c;", "a & b<é😀&nope; ' & c;"), ("plain", "plain"), ("&#0;&amp", "&#0;&amp"), ("", ""), (None, None)):
+        assert one(spark, tx.entities_decoded(F.col("t")), t=text) == expected
+
+
+def test_addresses(spark):
+    for base, value, full in (("https://x.org/a/b", "../i.png?x=1", "https://x.org/i.png?x=1"), ("https://x.org/a/", "i.png", "https://x.org/a/i.png"), ("https://x.org", "//c.org/i", "https://c.org/i"), ("https://x.org/a", "/", ""), ("https://x.org", "data:x", "data:x"), ("", "i.png", "i.png"), (None, "i.png", "i.png"), ("https://x.org/a", None, ""), ("https://x.org/a/b/c", "./d/../e", "https://x.org/a/b/e")):
+        assert one(spark, names.image_url("b", "v"), b=base, v=value) == full
 
 
 def test_ids(spark):

@@ -25,6 +25,12 @@ def test_communities_and_books(spark):
     docs = [("d", "discord", "u", invite), ("s", "stackoverflow", "u", json.dumps({"items": [{"excerpt": "e"}]})), ("w", "web", "https://x.org/", "<meta property='og:description' content='o'><meta property='og:image' content='/b.png'>")]
     rows = {r["source"]: tuple(r)[1:] for r in web.communities(spark.createDataFrame(docs, "source string, kind string, url string, document string")).collect()}
     assert rows == {"d": ("d", "https://cdn.discordapp.com/icons/9/i.png?size=512", "", 5), "s": ("e", "", "", None), "w": ("o", "", "https://x.org/b.png", None)}
+    page = '<shreddit-subreddit-header subreddit-id="t5_x" description="a &amp;amp; b" weekly-active-users="9" icon-url=""><i style="url(https://styles.redditmedia.com/t5_y/styles/communityIcon_0.png)"><i style="url(https://styles.redditmedia.com/t5_x/styles/communityIcon_1.png?a&amp;b);">'
+    forum = spark.createDataFrame([("r", "reddit", "u", page)], "source string, kind string, url string, document string")
+    assert [tuple(r) for r in web.communities(forum).collect()] == [("r", "a &amp; b", "https://styles.redditmedia.com/t5_x/styles/communityIcon_1.png?a&b", "", None)]
+    assert web.forums(forum).first()["weekly_visitors"] == "9"
+    with pytest.raises(Exception, match="no community in page"):
+        web.forums(forum.withColumn("document", F.lit("<p>"))).collect()
     with pytest.raises(Exception, match="unknown community"):
         web.communities(spark.createDataFrame([("x", "other", "u", "")], "source string, kind string, url string, document string")).collect()
     edition = json.dumps({"title": "Big Book: small words", "authors": [{"name": "A"}], "subjects": [], "identifiers": {}, "publishers": [{"name": "P"}, {"name": "Q"}]})
