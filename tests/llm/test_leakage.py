@@ -54,18 +54,64 @@ def test_found(spark):
     assert leakage.find_leaks(frame.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 5)
+def test_blocks_and_steps_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1500)
     monkeypatch.setattr(leakage, "STEP", 500)
+    monkeypatch.setattr(leakage, "EXPANDED", 40)
     test_found(spark)
 
 
-def test_pieces():
-    assert leakage.dense_pieces([0, 1, 2, 3, 4, 30, 31, 32, 33, 34, 35]) == [(5, 10), (0, 4)]
-    assert leakage.dense_pieces([0, 5, 10, 15]) == [] and leakage.dense_pieces([]) == []
+def test_edits():
+    def full(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(4)
+    text = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 9)))
+    for _ in range(3000):
+        a, b, k = text(), text(), rnd.randrange(0, 9)
+        assert leakage.edits_within(a, b, k) == (full(a, b) if full(a, b) <= k else None)
     assert leakage.longest_chain([(0, 9, 0, 50), (10, 19, 300, 350), (25, 30, 10, 20)]) == 20 and leakage.longest_chain([]) == 0
 
 
+def typos(text, rate, seed):
+    rnd = random.Random(seed)
+    return "".join(rnd.choice("xyz") if c != " " and rnd.random() < rate else c for c in text)
+
+
+def test_recall_and_precision():
+    """Altered passages are found up to an edit in twenty characters, three tenths are, and less isn't."""
+    items = [(i, leakage.fold(passage(seed=500 + i))) for i in range(60)]
+    index = leakage.Index(items)
+
+    def recall(change):
+        docs = [noise(40, i) + " " + change(p, i) + " " + noise(40, 90 + i) for i, (_, p) in enumerate(items)]
+        return sum((i, i) in {r[:2] for r in leakage.scan(index, list(range(60)), docs)} for i in range(60)) / 60
+
+    assert recall(lambda p, i: p) == 1.0
+    assert recall(lambda p, i: altered(p, 10)) == 1.0 and recall(lambda p, i: altered(p, 5)) == 1.0
+    assert recall(lambda p, i: typos(p, 0.03, i)) == 1.0 and recall(lambda p, i: typos(p, 0.05, i)) >= 0.95
+    assert recall(lambda p, i: " ".join(p.split()[i % 50 : i % 50 + 24])) == 1.0  # exactly three tenths
+    assert recall(lambda p, i: " ".join(p.split()[i % 50 : i % 50 + 22])) == 0.0
+
+
+def test_long_text_against_brute_force():
+    """Every window of a long text that holds enough of a passage word by word is found, and no other text is."""
+    items = [(i, leakage.fold(passage(60, seed=700 + i))) for i in range(8)]
+    index = leakage.Index(items)
+    rnd = random.Random(5)
+    for n in range(40):
+        k, size = rnd.randrange(8), rnd.randrange(10, 30)
+        at = rnd.randrange(0, 60 - size)
+        text = noise(400, n) + " " + " ".join(items[k][1].split()[at : at + size]) + " " + noise(400, n + 1)
+        assert {r[1] for r in leakage.scan(index, [0], [text])} == ({k} if size >= 18 else set())
+
+
 def test_quotations_in_many_or_distant_parts(spark):
     long = passage(200, seed=77)
     words = long.split()
