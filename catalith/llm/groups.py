@@ -182,6 +182,12 @@ def consolidate(links: DataFrame, left: str, right: str, order: list, forbidden:
     spark = links.sparkSession
     scratch = Scratch(spark, "groups")
     a, b = F.col(left), F.col(right)
+    if dict(links.dtypes)[left] == "bigint" and forbidden is None and not order:  # numbers need no other, and no link can be refused
+        graph = links.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.lit(0).cast("long").alias("r")).distinct()
+        graph = scratch.keep(graph, "links")
+        ids = graph.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("n"))
+        none = spark.createDataFrame([], "u long, v long")
+        return _solved(scratch, graph, none, none.select(F.col("u").alias("x"), F.lit(True).alias("kept")), ids)
     named = links.where(a.isNotNull() & b.isNotNull() & (a != "") & (b != "") & (a != b))
     ordered = named.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
     pairs = ordered.groupBy("a", "b").agg(F.min(F.struct(*[f"o{i}" for i in range(len(order))])).alias("o"))
@@ -197,7 +203,11 @@ def consolidate(links: DataFrame, left: str, right: str, order: list, forbidden:
         rules = forbidden.where(x != y).select(x.alias("a"), y.alias("b")).join(left_ids, "a").join(right_ids, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rules = scratch.keep(rules, "rules")
     apart = scratch.keep(rules.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", F.lit(True).alias("kept")), "apart")
+    return _solved(scratch, graph, rules, apart, ids)
 
+
+def _solved(scratch: Scratch, graph: DataFrame, rules: DataFrame, apart: DataFrame, ids: DataFrame) -> DataFrame:
+    """(member, group) of a graph (u, v, r) of numbers, with ``ids`` (id, n) naming them."""
     joins: list[DataFrame] = []
     while True:
         graph, gone, vertices, n = _reduce_once(scratch, graph, apart)

@@ -7,6 +7,9 @@ learns, without labels, how each function votes on matches and on non-matches.
 Functions whose votes still depend on each other given the class are joined into
 one factor that votes with the whole combination, so agreeing twins count once.
 A function without opinion neither speaks for nor against: it is summed out.
+Patterns of pairs that are known to differ, such as any two records drawn from all,
+may be given beside the candidates: they show how votes on non-matches look, even
+if hardly any candidate is one.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import numpy as np
 ROUNDS, PRIOR = 60, 0.5
 #: Residual correlation from which two functions are joined, and functions a factor may have.
 CORRELATED, FACTOR = 0.25, 3
-#: First guess: weight of a vote, and votes that must be exceeded to speak for a match.
-FIRST_GUESS, FIRST_NEED = 1.5, 1.5
+#: First guess: weight of a vote.
+FIRST_GUESS = 1.5
 
 
 class LabelModel:
@@ -27,13 +30,16 @@ class LabelModel:
     def __init__(self, functions: int):
         self.factors = [[j] for j in range(functions)]
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-        """``patterns``: (n, functions) of -1, 0, 1; ``counts``: rows that show each."""
-        self._em(patterns, counts, 1 / (1 + np.exp(-FIRST_GUESS * patterns.sum(axis=1))))
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, apart: tuple[np.ndarray, np.ndarray] | None = None) -> LabelModel:
+        """``patterns``: (n, functions) of -1, 0, 1; ``counts``: rows that show each; ``apart``: the same of known non-matches."""
+        self.open = np.arange(len(patterns) + (0 if apart is None else len(apart[0]))) < len(patterns)
+        if apart is not None:
+            patterns, counts = np.concatenate((patterns, apart[0])), np.concatenate((counts, apart[1]))
+        self._em(patterns, counts, np.where(self.open, 1 / (1 + np.exp(-FIRST_GUESS * patterns.sum(axis=1))), 0.0))
         while (pair := self._dependent(patterns, counts)) is not None:
             a, b = pair
             self.factors[a] += self.factors.pop(b)
-            self._em(patterns, counts, self.posterior(patterns, refit=True))
+            self._em(patterns, counts, self.fitted)
         return self
 
     def _cells(self, patterns: np.ndarray, factor: list[int]) -> np.ndarray:
@@ -64,15 +70,13 @@ class LabelModel:
     def _em(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
         for _ in range(ROUNDS):
             self._tables(patterns, counts, post)
-            new = self.posterior(patterns)
+            new = np.where(self.open, self.posterior(patterns), 0.0)
             if np.abs(new - post).max() < 1e-6:
                 break
             post = new
         self.fitted = post
 
-    def posterior(self, patterns: np.ndarray, refit: bool = False) -> np.ndarray:
-        if refit:
-            return self.fitted
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
         score = np.full(len(patterns), np.log(self.prior / (1 - self.prior)))
         for factor, table in zip(self.factors, self.tables, strict=True):
             score += table[self._cells(patterns, factor)]

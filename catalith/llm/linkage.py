@@ -2,17 +2,24 @@
 
 Each package is reduced to hashed pieces of evidence: addresses of repositories,
 project pages, and urls and checksums of upstream sources (never of patches or of
-the registry's own files).  Packages that share a piece are candidates, and so are packages of one name stem; within a
-piece the packages are sorted by name and each is paired with the next few, so a
-piece that a third of all packages share costs no more than its rows; a hot
-piece is sorted by ranges, with the same neighbours.  Matching
-functions vote on each candidate; a generative label model learns their
+the registry's own files).  Within a piece, packages whose votes can't differ form
+a class: equal name stem, topic and flags.  Every package is paired with the
+representatives of the classes of its stem, and with two representatives, of
+different stems, of the classes of other stems.  If one shared piece makes two
+packages a link, their pairs with the representatives are links too, since these
+have the same votes or more, so a piece that a third of all packages share costs a
+few rows a package and loses no connection.  (Two packages that only several weak
+pieces together would link are compared if one of them is a representative.)
+Packages of one stem without common evidence are paired the same way, to learn from.
+
+Matching functions vote on each candidate; a generative label model learns their
 accuracies and correlations from the counts of the vote patterns and gives each
 candidate a confidence.  Confident links are consolidated into projects, and the
 pairs of different registries within a project are the matches.
 
-Components kept in one repository are told apart by the topic in their names;
-topics are learned as name parts that go with many different others.
+Components kept in one repository are told apart by the topic in their names.
+Topics are learned: a name part is one if repositories hold packages of one
+registry whose names differ in that part only, or if it goes with many others.
 
 Defined cases: null, reserved and placeholder addresses and checksums are no
 evidence; a package without evidence matches nothing; repeated rows count once;
@@ -23,24 +30,21 @@ unevenly (the part before the colon counts).
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from catalith.llm.groups import consolidate
 from catalith.llm.labelmodel import LabelModel
 from catalith.llm.survivors import usable_address
 from catalith.util import Scratch, broadcast_if_small, clean_id, table
 
-#: Packages after a package that it is paired with within a piece of evidence.
-REACH = 3
-#: Packages above which a piece of evidence is hot and sorted by ranges.
-HOT = 20_000
-#: A name part is a topic if it goes with so many others, and with this share of all packages.
-TOPIC_PARTNERS, TOPIC_SHARE = 8, 0.0005
+#: A name part is a topic if it goes with so many others, and with this share of all packages;
+#: or if it tells packages apart in this share of the repositories in which names do so.
+TOPIC_PARTNERS, TOPIC_SHARE, TOPIC_REPOSITORIES = 8, 0.0005, 0.0005
 #: Confidence of a link.
 CONFIDENT = 0.5
 # Parts of a name that say language or edition and nothing about the project.
@@ -109,158 +113,207 @@ def split_name(name: str, topics: set[str]) -> tuple[str, str]:
     stem = re.sub(r"(?<=.{4})(?:cpp|cxx|\d)$", "", stem)
     stem = re.sub(r"^(?:cpp|cxx)(?=.{4})", "", stem)
     if not topic:
-        for t in topics:
-            if stem.endswith(t) and len(stem) - len(t) >= 4 and len(t) > len(topic):
-                topic = t
-        if topic:
-            stem = stem[: -len(topic)]
+        topic = next((stem[n:] for n in range(4, len(stem)) if stem[n:] in topics), "")
+        stem = stem[: len(stem) - len(topic)]
     return stem, topic
 
 
-def name_parts(names: DataFrame) -> set[str]:
-    """Topics: name parts that go with many different others.
+def _parts(pid: str) -> Column:
+    """The distinct parts of a package's name that may be topics."""
+    return F.array_distinct(F.filter(F.split(F.substring_index(pid, ":", -1), r"[^a-z0-9]+"), lambda p: (F.length(p) >= 3) & ~p.isin(*LANGUAGE_PARTS)))
 
-    The threshold is a share of all packages, so the result stays bounded.
+
+def name_parts(found: DataFrame, names: DataFrame) -> set[str]:
+    """Topics among the parts of package names.
+
+    Both thresholds are shares, so the result stays bounded at any size.
     """
-    parts = names.select("pid", F.array_distinct(F.filter(F.split(F.substring_index("pid", ":", -1), r"[^a-z0-9]+"), lambda p: (F.length(p) >= 3) & ~p.isin(*LANGUAGE_PARTS))).alias("parts")).where("size(parts) > 1")
+    parts = names.select("pid", _parts("pid").alias("parts")).where("size(parts) > 1")
     pairs = parts.select(F.explode("parts").alias("part"), "parts").select("part", F.explode("parts").alias("other")).where("part <> other")
     least = max(TOPIC_PARTNERS, int(TOPIC_SHARE * names.count()))
-    heard = pairs.distinct().groupBy("part").count().where(F.col("count") >= least)
-    return {r["part"] for r in heard.toLocalIterator()}
+    heard = pairs.distinct().groupBy("part").count().where(F.col("count") >= least).select("part")
+    inside = found.where(F.col("kind") == _EVIDENCE["repository"]).select("key", F.substring_index("pid", ":", 1).alias("registry"), _parts("pid").alias("parts")).where("size(parts) > 1")
+    inside = inside.select("key", "registry", F.explode("parts").alias("part"), "parts")
+    rest = F.array_join(F.array_sort(F.array_remove("parts", F.col("part"))), "-")
+    inside = inside.select("key", "registry", rest.alias("rest"), "part").distinct()
+    place = ["key", "registry", "rest"]
+    several = inside.groupBy(*place).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select(*place)
+    told = inside.join(several, place, "left_semi").groupBy("part").agg(F.count_distinct("key").alias("repositories"))
+    told = told.where(F.col("repositories") >= F.greatest(F.lit(1), F.floor(F.lit(TOPIC_REPOSITORIES) * F.lit(several.select("key").distinct().count())))).select("part")
+    return {r["part"] for r in heard.unionByName(told).distinct().toLocalIterator()}
 
 
 def packages(found: DataFrame) -> DataFrame:
-    """(pid, registry, stem, topic) of every package with evidence."""
-    names = found.select("pid").distinct()
-    topics = name_parts(names)
+    """One row per package with evidence: its number, names and what decides its votes.
+
+    ``topic``: hash of the topic, 0 for none, 1 for a component without topic beside
+    others of its stem; ``flags``: 1 for a repository, 2 for a page.
+    """
+    has = lambda k: F.max(F.col("kind") == _EVIDENCE[k]).cast("int")
+    held = found.groupBy("pid").agg((has("repository") + 2 * has("page")).alias("flags"))
+    topics = name_parts(found, held)
 
     @F.pandas_udf("stem string, topic string")
     def split(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([split_name(n, topics) for n in s], columns=["stem", "topic"])
 
-    return names.select("pid", F.substring_index("pid", ":", 1).alias("registry"), split(F.substring_index("pid", ":", -1)).alias("n")).select("pid", "registry", "n.stem", "n.topic")
+    known = held.select("pid", "flags", F.substring_index("pid", ":", 1).alias("registry"), split(F.substring_index("pid", ":", -1)).alias("n")).select("pid", "flags", "registry", "n.stem", "n.topic")
+    known = Scratch(found.sparkSession, "names").keep(known, "names")
+    inside = found.where(F.col("kind") == _EVIDENCE["repository"]).join(known.select("pid", "stem", "topic"), "pid")
+    many = inside.where("topic <> ''").groupBy("key", "stem").agg(F.min("topic").alias("low"), F.max("topic").alias("high")).where("low <> high").select("key", "stem")
+    unclear = inside.where("topic = ''").join(many, ["key", "stem"], "left_semi").select("pid", F.lit(True).alias("unclear")).distinct()
+    topic = F.when(F.col("topic") != "", F.xxhash64("topic")).when(F.col("unclear"), 1).otherwise(0)
+    both = known.join(unclear, "pid", "left")
+    return both.select(F.monotonically_increasing_id().alias("n"), "pid", "registry", F.when(F.col("stem") != "", F.xxhash64("stem")).alias("stem"), topic.alias("topic"), "flags")
 
 
-_ME = ("pid", "stem", "topic", "has_repository", "has_page")
+_PLAIN, _UNCLEAR = 0, 1
+_FLAGS = range(4)
 
 
-def _shared() -> list[Column]:
-    """Whether a pair shares each kind of evidence."""
-    return [F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()]
-
-
-def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs that share evidence or a stem, with the votes of all functions.
+def _stars(pieces: DataFrame, by: list[str], stems: bool) -> DataFrame:
+    """Members of a piece paired with the representatives of its classes.
 
-    Pairs that share nothing but the stem, or a page under different stems, are
-    candidates too: from them the model learns how non-matches look.
+    A member meets the classes of its own topic and, unless it is unclear, the
+    classes without topic; one without topic meets those of all topics.  With
+    ``stems`` each class has two representatives, those of the least and the
+    greatest stem, and pairs of one stem are left out.
     """
-    facts, me = _facts(found, known), F.struct(*_ME)
-    pieces = found.join(facts, "pid").select("kind", "key", me.alias("me"))
-    names = facts.where("stem <> ''").select(F.lit(0).cast("tinyint").alias("kind"), F.xxhash64("stem").alias("key"), me.alias("me"))
-    pieces = pieces.unionByName(names)
-    later = _following(pieces, ["me.stem", "me.topic", "me.pid"])
-    pairs = later.select("kind", F.col("me").alias("a"), F.explode("later").alias("b"))
-    low, high = F.least("a", "b"), F.greatest("a", "b")  # structs order by pid
-    return _voted(pairs.select(low.alias("a"), high.alias("b"), "kind").groupBy("a", "b").agg(*_shared()))
+    real = ~F.col("topic").isin(_PLAIN, _UNCLEAR)
+    # circle: members of one topic (or the unclear ones), and the members with and without topic together (0)
+    circles = F.when(real, F.array(F.col("topic"), F.lit(0).cast("long"))).otherwise(F.array("topic"))
+    rows = pieces.withColumn("circle", F.explode(circles))
+    side = F.when(F.col("circle") == 0, real.cast("int")).otherwise(2)  # 0 without topic, 1 with, 2 alike
+    rows = rows.withColumn("side", side)
+    place = [*by, "circle"]
+    picks = []
+    for s in (0, 1, 2):
+        for f in _FLAGS:
+            here = (F.col("side") == s) & (F.col("flags") == f)
+            if stems:
+                picks += [F.min(F.when(here, F.struct("stem", "n"))).alias(f"low_{s}_{f}"), F.max(F.when(here, F.struct("stem", "n"))).alias(f"high_{s}_{f}")]
+            else:
+                picks.append(F.min(F.when(here, F.col("n"))).alias(f"low_{s}_{f}"))
+    heads = rows.groupBy(*place).agg(F.count("*").alias("members"), *picks).where("members > 1").drop("members")
+
+    def met(s: int) -> list[Column]:
+        """The representatives of side ``s`` as (n, flags, topic vote, stem)."""
+        vote = F.when(F.lit(s) == 2, F.when(F.col("circle") == _UNCLEAR, 0).otherwise(1)).otherwise(0)
+        ends = ("low", "high") if stems else ("low",)
+        of = lambda e, f: F.col(f"{e}_{s}_{f}")
+        n, stem = (lambda c: c["n"]) if stems else (lambda c: c), (lambda c: c["stem"]) if stems else (lambda c: F.col("stem"))
+        return [F.when(of(e, f).isNotNull(), F.struct(n(of(e, f)).alias("n"), F.lit(f).alias("flags"), vote.alias("vote"), stem(of(e, f)).alias("stem"))) for e in ends for f in _FLAGS]
+
+    # with topic, the members of other topics aren't met: they vote against each other
+    mine = F.when(F.col("side") == 2, F.array(*met(2))).when(F.col("side") == 1, F.array(*met(0))).otherwise(F.array(*met(0), *met(1)))
+    pairs = rows.join(heads, place).select("kind", "n", "stem", "flags", F.explode(F.array_distinct(F.array_compact(mine))).alias("r"))
+    pairs = pairs.where(F.col("n") != F.col("r.n"))
+    if stems:
+        pairs = pairs.where(~F.col("stem").eqNullSafe(F.col("r.stem")))
+    both = lambda bit: (F.col("flags").bitwiseAND(bit) > 0) & (F.col("r.flags").bitwiseAND(bit) > 0)
+    return pairs.select(
+        F.least("n", "r.n").alias("a"), F.greatest("n", "r.n").alias("b"), "kind", (both(1).cast("int") + 2 * both(2).cast("int")).alias("both"),
+        F.lit(-1 if stems else 1).alias("name"), F.col("r.vote").alias("topic"))
 
 
-def _following(pieces: DataFrame, order: list[str]) -> DataFrame:
-    """``pieces`` with the next REACH packages of the piece in ``later``.
+def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, votes): pairs of package numbers that share evidence or a stem.
 
-    Hot pieces are sorted by ranges of (piece, order); each range knows the first
-    packages of the ranges after it, so the neighbours don't depend on the split.
-    """
-    piece = ["kind", "key"]
-    leads = lambda w: F.array_compact(F.array(*[F.lead("me", k).over(w) for k in range(1, REACH + 1)]))
-    whole = Window.partitionBy(*piece).orderBy(*order)
-    hot = pieces.groupBy(*piece).count().where(F.col("count") > HOT).select(*piece)
-    if hot.isEmpty():
-        return pieces.withColumn("later", leads(whole))
-    scratch = Scratch(pieces.sparkSession, "hot")
-    hot = broadcast_if_small(scratch.keep(hot, "pieces"))
-    ranged = pieces.join(hot, piece, "left_semi").repartitionByRange(*piece, *order)
-    ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "ranged")
-    here = Window.partitionBy(*piece, "part").orderBy(*order)
-    heads = ranged.withColumn("n", F.row_number().over(here)).where(F.col("n") <= REACH)
-    heads = heads.groupBy(*piece, "part").agg(F.array_sort(F.collect_list(F.struct("n", "me"))).alias("head"))
-    after = F.flatten(F.collect_list("head").over(Window.partitionBy(*piece).orderBy("part").rowsBetween(1, REACH)))
-    ends = heads.select(*piece, "part", F.transform(after, lambda h: h["me"]).alias("after"))
-    split = ranged.withColumn("later", leads(here)).join(ends, [*piece, "part"])
-    split = split.select(*piece, "me", F.slice(F.concat("later", "after"), 1, REACH).alias("later"))
-    return pieces.join(hot, piece, "left_anti").withColumn("later", leads(whole)).unionByName(split)
-
-
-def every_pair(found: DataFrame, known: DataFrame, more: DataFrame) -> DataFrame:
-    """All pairs of different registries that share evidence, and the pairs ``more``, with the votes of all functions.
-
-    A piece gives the square of its packages; ``candidates`` stay linear.
+    Pairs that share nothing but the stem, or a piece under different stems, are
+    candidates too: from them the model learns how non-matches look.
     """
-    left, right = found.select("kind", "key", F.col("pid").alias("package_a")), found.select("kind", "key", F.col("pid").alias("package_b"))
-    registry = lambda c: F.substring_index(c, ":", 1)
-    pairs = left.join(right, ["kind", "key"]).where((F.col("package_a") < F.col("package_b")) & (registry("package_a") != registry("package_b")))
-    pairs = pairs.select("package_a", "package_b", "kind").unionByName(more.select("package_a", "package_b", F.lit(0).cast("tinyint").alias("kind")))
-    facts = _facts(found, known)
-    side = lambda p: facts.select(F.col("pid").alias(f"package_{p}"), F.struct(*_ME).alias(p))
-    return _voted(pairs.groupBy("package_a", "package_b").agg(*_shared()).join(side("a"), "package_a").join(side("b"), "package_b"))
-
-
-def _facts(found: DataFrame, known: DataFrame) -> DataFrame:
-    """What the functions that compare packages need of each."""
-    held = found.groupBy("pid").agg(F.max(F.col("kind") == _EVIDENCE["repository"]).alias("has_repository"), F.max(F.col("kind") == _EVIDENCE["page"]).alias("has_page"))
-    return known.join(held, "pid")
+    facts = known.select("n", "pid", "stem", "topic", "flags")
+    pieces = found.join(facts, "pid").select("kind", "key", "n", "stem", "topic", "flags")
+    names = facts.where("stem IS NOT NULL").select(F.lit(0).cast("tinyint").alias("kind"), F.col("stem").alias("key"), "n", "stem", "topic", "flags")
+    mixed = pieces.groupBy("kind", "key").agg(F.min("stem").alias("low"), F.max("stem").alias("high")).where("low <> high").select("kind", "key")
+    mixed = pieces.join(broadcast_if_small(mixed), ["kind", "key"], "left_semi")
+    pairs = _stars(pieces.where("stem IS NOT NULL").unionByName(names), ["kind", "key", "stem"], False).unionByName(_stars(mixed, ["kind", "key"], True))
+    shared = [F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()]
+    return _voted(pairs.groupBy("a", "b").agg(*shared, F.max("both").alias("both"), F.max("name").alias("name"), F.max("topic").alias("topic")))
 
 
 def _voted(shared: DataFrame) -> DataFrame:
     """Pairs a, b and the evidence they share, with the votes of all functions."""
-    differ = lambda k: F.when(F.col(k) == 1, 1).when(F.col(f"a.has_{k}") & F.col(f"b.has_{k}"), -1).otherwise(0)
-    name = F.when(F.col("a.stem") == F.col("b.stem"), 1).otherwise(-1)
-    topic = F.when((F.col("a.topic") != "") & (F.col("b.topic") != ""), F.when(F.col("a.topic") == F.col("b.topic"), 1).otherwise(-1)).otherwise(0)
-    return shared.select("a", "b", "checksum", "url", differ("repository").alias("repository"), differ("page").alias("page"), "family", "slug", name.alias("name"), topic.alias("topic"))
-
-
-def _several_topics(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(pid) of packages without topic in a repository that keeps several components of their stem."""
-    inside = found.where(F.col("kind") == _EVIDENCE["repository"]).join(known, "pid")
-    many = inside.groupBy("key", "stem").agg(F.count_distinct(F.when(F.col("topic") != "", F.col("topic"))).alias("topics")).where("topics > 1")
-    return inside.where("topic = ''").join(many.select("key", "stem"), ["key", "stem"], "left_semi").select("pid").distinct()
-
-
-def _topics_apart(votes: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
-    """``votes`` of pairs a, b by their ids; a component without topic is none of the others."""
-    votes = votes.select(F.col("a.pid").alias("package_a"), F.col("b.pid").alias("package_b"), *FUNCTIONS)
-    unclear = _several_topics(found, known)
-    votes = votes.join(unclear.select(F.col("pid").alias("package_a"), F.lit(1).alias("ua")), "package_a", "left").join(unclear.select(F.col("pid").alias("package_b"), F.lit(1).alias("ub")), "package_b", "left")
-    return votes.withColumn("topic", F.when((F.col("topic") == 0) & (F.coalesce("ua", F.lit(0)) != F.coalesce("ub", F.lit(0))), -1).otherwise(F.col("topic"))).drop("ua", "ub")
-
-
-def score(votes: DataFrame, model: LabelModel | None = None) -> tuple[DataFrame, LabelModel | None]:
-    """(``votes`` with the confidence of each pair, model): by a label model, fitted on their patterns if none is given."""
+    differ = lambda k, bit: F.when(F.col(k) == 1, 1).when(F.col("both").bitwiseAND(bit) > 0, -1).otherwise(0).alias(k)
+    return shared.select("a", "b", "checksum", "url", differ("repository", 1), differ("page", 2), "family", "slug", "name", "topic")
+
+
+def votes_on(pairs: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """The votes of all functions on given pairs (a, b) of package numbers."""
+    side = lambda c: known.select(F.col("n").alias(c), F.struct("stem", "topic", "flags").alias(f"{c}_is"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    real = lambda c: ~c.isin(_PLAIN, _UNCLEAR)
+    s, t = F.col("a_is"), F.col("b_is")
+    topic = F.when(real(s["topic"]) & real(t["topic"]), F.when(s["topic"] == t["topic"], 1).otherwise(-1)).when((s["topic"] == _UNCLEAR) != (t["topic"] == _UNCLEAR), -1).otherwise(0)
+    name = F.when(s["stem"] == t["stem"], 1).otherwise(-1)
+    rows = rows.select("a", "b", s["flags"].bitwiseAND(t["flags"]).alias("both"), name.alias("name"), topic.alias("topic"))
+    held = found.join(known.select("n", "pid"), "pid").select("n", "kind", "key")
+    common = pairs.join(held.withColumnRenamed("n", "a"), "a").join(held.withColumnRenamed("n", "b"), ["b", "kind", "key"])
+    common = common.groupBy("a", "b").agg(*[F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()])
+    return _voted(rows.join(common, ["a", "b"], "left").fillna(0, list(_EVIDENCE)))
+
+
+def strangers(known: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(patterns, shares): how the functions vote on any two packages, from the counts of all.
+
+    Two packages drawn from all share no evidence and no stem, but may have
+    repositories, pages and topics; only these counts reach the driver, at most
+    four for each topic.
+    """
+    counted = known.groupBy("topic", "flags").count().collect()
+    total, shares = sum(r["count"] for r in counted), Counter()
+    for x in counted:
+        for y in counted:
+            s, t, both = x["topic"], y["topic"], x["flags"] & y["flags"]
+            plain = s in (_PLAIN, _UNCLEAR) or t in (_PLAIN, _UNCLEAR)
+            topic = 0 if plain else 1 if s == t else -1
+            if topic >= 0 and (s == _UNCLEAR) == (t == _UNCLEAR):
+                shares[-(both & 1), -(both >> 1), topic] += x["count"] * y["count"] / total**2
+    if not shares:
+        return None
+    rows = [[{"repository": r, "page": p, "name": -1, "topic": t}.get(f, 0) for f in FUNCTIONS] for r, p, t in shares]
+    return np.array(rows, dtype=np.int64), np.array(list(shares.values()))
+
+
+def score(votes: DataFrame, model: LabelModel | None = None, known: DataFrame | None = None) -> tuple[DataFrame, LabelModel | None]:
+    """(``votes`` with the confidence of each pair, model): by a label model, fitted on their patterns if none is given.
+
+    Beside the candidates the fit sees as many pairs of strangers among ``known``.
+    """
     counted = votes.groupBy(*FUNCTIONS).count().collect()  # at most 3 ** len(FUNCTIONS) rows
     if not counted:
         return votes.withColumn("confidence", F.lit(0.0)), model
     patterns = np.array([[r[f] for f in FUNCTIONS] for r in counted], dtype=np.int64)
     # components of one repository are different by definition: they'd teach the functions that sharing means nothing
     open_ = patterns[:, FUNCTIONS.index("topic")] >= 0
-    model = model or LabelModel(len(FUNCTIONS)).fit(patterns[open_], np.array([r["count"] for r in counted], dtype=float)[open_])
+    if model is None:
+        counts = np.array([r["count"] for r in counted], dtype=float)[open_]
+        apart = strangers(known) if known is not None else None
+        model = LabelModel(len(FUNCTIONS)).fit(patterns[open_], counts, apart and (apart[0], apart[1] * counts.sum()))
     rows = [(*map(int, p), float(c) if o else 0.0) for p, c, o in zip(patterns, model.posterior(patterns), open_, strict=True)]
     scored = votes.sparkSession.createDataFrame(rows, ", ".join(f"{f} int" for f in FUNCTIONS) + ", confidence double")
     return votes.join(F.broadcast(scored), FUNCTIONS), model
 
 
 def _linked(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, LabelModel | None]:
-    """(evidence, packages, scored candidates, model)."""
+    """(evidence, packages, scored candidates a, b, model)."""
     found = scratch.keep(evidence(rows), "evidence")
     known = scratch.keep(packages(found), "packages")
-    votes = scratch.keep(_topics_apart(candidates(found, known), found, known), "votes")
-    scored, model = score(votes)
-    return found, known, scratch.keep(scored, "scored"), model
+    scored, model = score(scratch.keep(candidates(found, known), "votes"), known=known)
+    return found, known, scored, model
+
+
+def _named(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs a, b as package_a < package_b."""
+    pid = lambda c: known.select(F.col("n").alias(c), F.col("pid").alias(f"{c}_pid"))
+    both = pairs.join(pid("a"), "a").join(pid("b"), "b")
+    return both.select(F.least("a_pid", "b_pid").alias("package_a"), F.greatest("a_pid", "b_pid").alias("package_b"), *[c for c in pairs.columns if c not in ("a", "b")])
 
 
 def link_packages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scored candidates, (pid, registry)): every candidate pair a, b with its confidence."""
+    """(scored candidates, (pid, registry)): every candidate pair package_a, package_b with its confidence."""
     _, known, scored, _ = _linked(rows, Scratch(rows.sparkSession, "linkage"))
-    return scored, known.select("pid", "registry")
+    return _named(scored, known), known.select("pid", "registry")
 
 
 def _links(scored: DataFrame) -> DataFrame:
@@ -273,29 +326,37 @@ def _with_evidence(scored: DataFrame) -> DataFrame:
     return scored.where(F.greatest(*[F.col(k) for k in _EVIDENCE]) > 0)
 
 
-def _project_pairs(scored: DataFrame, known: DataFrame) -> DataFrame:
-    """(package_a, package_b) of different registries within the projects that the links give."""
-    groups = consolidate(_links(scored), "package_a", "package_b", [F.lit(0)])
-    members = groups.join(known, F.col("member") == F.col("pid")).select("group", "member", "registry")
-    other = members.select("group", F.col("member").alias("package_b"), F.col("registry").alias("other"))
-    pairs = members.join(other, "group").where((F.col("member") < F.col("package_b")) & (F.col("registry") != F.col("other")))
-    return pairs.select(F.col("member").alias("package_a"), "package_b")
+def _projects(scored: DataFrame) -> DataFrame:
+    """(member, group): the package numbers of every project of two or more."""
+    return consolidate(_links(scored), "a", "b", [])
+
+
+def _project_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, group, package_a, package_b) of different registries within a project."""
+    members = groups.join(known.select(F.col("n").alias("member"), "pid", "registry"), "member").select("group", F.col("member").alias("a"), F.col("pid").alias("package_a"), "registry")
+    other = members.select("group", F.col("a").alias("b"), F.col("package_a").alias("package_b"), F.col("registry").alias("other"))
+    return members.join(other, "group").where((F.col("package_a") < F.col("package_b")) & (F.col("registry") != F.col("other"))).select("a", "b", "group", "package_a", "package_b")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(package_a, package_b) of all packages of one project in different registries."""
-    scored, known = link_packages(table(spark, sf_dir, "package_versions"))
-    return _project_pairs(scored, known)
+    _, known, scored, _ = _linked(table(spark, sf_dir, "package_versions"), Scratch(spark, "linkage"))
+    return _project_pairs(_projects(scored), known).select("package_a", "package_b")
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(package_a, package_b, confidence, votes): every pair of different registries that shares evidence, and every pair of p5_found.
+    """(package_a, package_b, confidence, direct): every pair of p5_found with a confidence.
 
-    The confidence is that of the pair's own votes, by the model fitted on the
-    candidates; a pair of p5_found that only other packages connect may have a low one.
+    ``direct`` is the posterior of the pair's own votes.  Packages are also one
+    project through others: a path is as good as its weakest link, and none within
+    a project is weaker than the project's weakest, so the confidence is the
+    greater of the two.
     """
     scratch = Scratch(spark, "linkage")
     found, known, scored, model = _linked(table(spark, sf_dir, "package_versions"), scratch)
-    votes = _topics_apart(every_pair(found, known, _project_pairs(scored, known)), found, known)
-    out, _ = score(scratch.keep(votes, "pairs"), model)
-    return out.select("package_a", "package_b", F.round("confidence", 6).alias("confidence"), *FUNCTIONS)
+    groups = scratch.keep(_projects(scored), "groups")
+    weakest = _links(scored).join(groups.withColumnRenamed("member", "a"), "a").groupBy("group").agg(F.min("confidence").alias("weakest"))
+    pairs = scratch.keep(_project_pairs(groups, known), "pairs")
+    direct, _ = score(scratch.keep(votes_on(pairs.select("a", "b"), found, known), "direct"), model)
+    out = pairs.join(direct.select("a", "b", "confidence"), ["a", "b"]).join(weakest, "group")
+    return out.select("package_a", "package_b", F.round(F.greatest("confidence", "weakest"), 6).alias("confidence"), F.round("confidence", 6).alias("direct"))

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 
 from catalith.llm import linkage
 from catalith.llm.labelmodel import LabelModel
@@ -62,15 +65,61 @@ def test_pairs(spark, rows):
     assert empty.count() == 0
 
 
-def test_hot_pieces_keep_pairs_of_one_stem(spark, monkeypatch):
-    stems = ["".join((a, b, "ruka")) for a in "bdfgk" for b in "aeiou"]
-    data = [(f"{reg}:{s}", reg, None, "https://shared.example/family", None, None) for s in stems for reg in ("conan", "vcpkg", "spack")]
+def grouped(pairs):
+    """Components of pairs, as sorted lists."""
+    at = {}
+    for a, b in pairs:
+        x, y = at.setdefault(a, {a}), at.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for m in y:
+                at[m] = x
+    return sorted(sorted(g) for g in {id(g): g for g in at.values()}.values())
+
+
+def mixed(seed):
+    """Packages with stems, topics, repositories, pages and sources in random company; one repository, one page and one url are hot."""
+    rnd = random.Random(seed)
+    data = []
+    for i in range(160):
+        stem = rnd.choice("bdfgk") + rnd.choice("aeiou") + "ruka" + rnd.choice("mnp") + "a"
+        name = stem + rnd.choice(["", "", "-mesh", "_json", "2"])
+        repo = rnd.choice([None, "https://forge.example/hot/all", f"https://forge.example/o{rnd.randrange(30)}/p"])
+        page = rnd.choice([None, None, "https://family.example/", f"https://docs.o{rnd.randrange(20)}.example/{stem}"])
+        sources = rnd.choice([None, [source("https://a.example/hot.tgz")], [source(f"https://a.example/{rnd.randrange(40)}.tgz", f"{rnd.randrange(30) + 1:064x}")]])
+        data.append((f"{rnd.choice(['conan', 'vcpkg', 'spack', 'xmake'])}:{name}", "x", repo, page, sources, None))
+    data += [(f"hunter:filler{i}-{t}", "hunter", f"https://forge.example/f/fil{i}", None, None, None) for i in range(10) for t in ("mesh", "json")]
+    return data
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_representatives_lose_no_connection(spark, seed):
+    """Whatever one shared piece links among all pairs is connected through representatives, and nothing else than all pairs connect."""
+    rows = spark.createDataFrame(mixed(seed), SCHEMA)
+    scratch = linkage.Scratch(spark, "test")
+    found, known, scored, model = linkage._linked(rows, scratch)
+    held = found.join(known.select("pid", "n"), "pid")
+    every = held.select("kind", "key", linkage.F.col("n").alias("a")).join(held.select("kind", "key", linkage.F.col("n").alias("b")), ["kind", "key"]).where("a < b").select("a", "b").distinct()
+    brute, _ = linkage.score(linkage.votes_on(every, found, known), model)
+    links = lambda df: grouped((r["a"], r["b"]) for r in linkage._links(df).collect())
+    votes = linkage.votes_on(every, found, known)
+    kinds = [votes.where(f"{k} = 1").select("a", "b", *[linkage.F.lit(int(f == k)).alias(f) if f in linkage._EVIDENCE and f not in ("repository", "page") else linkage.F.when(linkage.F.lit(f != k) & (linkage.F.col(f) == 1), -1).otherwise(linkage.F.col(f)).alias(f) for f in linkage.FUNCTIONS]) for k in linkage._EVIDENCE]
+    single = [tuple(r) for one in kinds for r in linkage._links(linkage.score(one, model)[0]).select("a", "b").collect()]
+    within = lambda fine, coarse: all(any(set(g) <= set(c) for c in coarse) for g in fine)
+    assert within(grouped(single), links(scored)) and within(links(scored), links(brute)) and len(grouped(single)) > 5
+    # a representative pair's votes are those that the pair itself has
+    own = {(r["a"], r["b"]): r for r in brute.collect()}
+    for r in linkage._with_evidence(scored).collect():
+        full = own[r["a"], r["b"]]
+        assert all(r[k] <= full[k] for k in linkage._EVIDENCE) and (r["name"], r["topic"]) == (full["name"], full["topic"])
+    assert scored.groupBy("a", "b").count().where("count > 1").isEmpty()
+
+
+def test_topics_at_any_size(spark):
+    """Components of one repository teach topics in the smallest table; unrelated names don't."""
+    data = [("conan:zoruta-mesh", "conan", "https://forge.example/z/zoruta", None, None, None), ("conan:zoruta-json", "conan", "https://forge.example/z/zoruta", None, None, None), ("vcpkg:other-name", "vcpkg", "https://forge.example/z/zoruta", None, None, None), ("conan:ab-cpp", "conan", "https://forge.example/z/ab", None, None, None), ("conan:ab", "conan", "https://forge.example/z/ab", None, None, None)]
     found = linkage.evidence(spark.createDataFrame(data, SCHEMA))
-    known = linkage.packages(found)
-    same = lambda: sorted((r["a"]["pid"], r["b"]["pid"]) for r in linkage.candidates(found, known).where("name = 1 AND page = 1").collect())
-    plain = same()
-    monkeypatch.setattr(linkage, "HOT", 10)
-    assert same() == plain and len(plain) == 3 * len(stems)
+    assert linkage.name_parts(found, found.select("pid").distinct()) == {"mesh", "json"}
 
 
 def test_confidence_of_every_pair(spark, rows, tmp_path):
@@ -84,27 +133,8 @@ def test_confidence_of_every_pair(spark, rows, tmp_path):
     data += [(p, p.split(":")[0], "https://forge.example/shared/all", None, None, None) for p in many]
     spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "package_versions.parquet"))
     scored = {r[:2]: r for r in rows(linkage.p5_confidence(spark, str(tmp_path)))}
-    assert {(a, b) for a in many for b in many if a < b} <= set(scored)
     found = set(rows(linkage.p5_found(spark, str(tmp_path))))
-    assert ("conan:zoruta", "spack:zoruta-cpp") in found and found <= set(scored)
-    kept = {r["package_a"] + r["package_b"]: round(r["confidence"], 6) for r in linkage._with_evidence(linkage.link_packages(spark.read.parquet(str(tmp_path / "package_versions.parquet")))[0]).collect()}
-    assert all(scored[k][2] == kept[k[0] + k[1]] for k in scored if k[0] + k[1] in kept)
-
-
-def test_hot_pieces_keep_neighbours_of_all_stems(spark, monkeypatch):
-    stems = ["".join((a, b, "ruka")) for a in "bdfgk" for b in "aeiou"]
-    data = [(f"{reg}:{s}", reg, None, "https://shared.example/family", None, None) for s in stems for reg in ("conan", "vcpkg", "spack")]
-    found = linkage.evidence(spark.createDataFrame(data, SCHEMA))
-    known = linkage.packages(found)
-    pairs = lambda: sorted((r["a"]["pid"], r["b"]["pid"], r["page"]) for r in linkage.candidates(found, known).collect())
-    plain = pairs()
-    monkeypatch.setattr(linkage, "HOT", 10)
-    assert pairs() == plain and len({p[:2] for p in plain if p[0].split(":")[1] != p[1].split(":")[1]}) > len(stems)
-    for count in ("1", "40"):  # one range, and ranges of a package or two
-        spark.conf.set("spark.sql.shuffle.partitions", count)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        try:
-            assert pairs() == plain
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", "4")
-            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ("conan:zoruta", "spack:zoruta-cpp") in found and found == set(scored)
+    assert all(0 <= r[3] <= r[2] <= 1 and r[2] >= linkage.CONFIDENT for r in scored.values())
+    kept = {(r["package_a"], r["package_b"]): round(r["confidence"], 6) for r in linkage._links(linkage.link_packages(spark.read.parquet(str(tmp_path / "package_versions.parquet")))[0]).collect()}
+    assert kept and all(scored[k][2] >= kept[k] for k in scored if k in kept)
