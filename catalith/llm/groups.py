@@ -13,15 +13,19 @@ its neighbour in the sequential order too, whatever is refused elsewhere.
 
 A core of more than ``REPLAY_LINKS`` links shrinks by Boruvka rounds: a cluster
 without id of a forbidden pair joins along its best link, which can't be refused.
-If only clusters around such ids are left and they are still too many, parallel
-rounds over mutually best links follow.  What remains, at most ``REPLAY_LINKS``
-links, one task replays in order.  Finally the labels are restored to everything
-that was removed, by pointer doubling.  All of this gives the groups of the
-sequential order, at any size.
+A core of at most ``REPLAY_LINKS`` links is replayed in order by one task.  Of a
+larger one only links between clusters around forbidden ids are left; each of its
+components is replayed by a task of its own, with the rules inside it.  Only while
+a component exceeds ``COMPONENT_LINKS`` do parallel rounds over mutually best
+links come first.  Finally the labels are restored to everything that was removed,
+by pointer doubling.  All of this gives the groups of the sequential order, at any
+size.
 
 Each step is a shuffle of the shrinking link table; intermediate tables are
-written to the shared folder.  Hot vertices are combined before shuffles, and no
-component or link list is collected.
+written to the shared folder.  Aggregations combine a hub's links before they are
+shuffled; in joins the side that holds a hub's links is split by adaptive
+execution, since the other side has one row a vertex.  No component or link list
+is collected.
 
 Defined cases: links with null or blank ids and links of an id with itself say
 nothing; repeated and reversed links count once, at their best order; a null
@@ -32,15 +36,18 @@ links, has no effect; an empty table gives no groups.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.operators.resolve import components
 from catalith.util import Scratch, clean_id, table
 
 #: Links of the core that a single task may replay (12 MB of ids).
 REPLAY_LINKS = 500_000
+#: Links of one component of a larger core that a task may replay (120 MB of ids).
+COMPONENT_LINKS = 5_000_000
 #: A reduction round that removes a smaller share of the vertices is the last; the core solver takes the rest.
-LEAST_GAIN = 0.03
+LEAST_GAIN = 0.1
 
 
 def _canonical(links: DataFrame) -> DataFrame:
@@ -53,11 +60,18 @@ def _arcs(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y"), "r"), F.struct(F.col("v").alias("x"), F.col("u").alias("y"), "r"))).alias("a")).select("a.*")
 
 
+def _kept(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A written table and its rows, counted while it is written."""
+    seen = Observation()
+    out = scratch.keep(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get["rows"]
+
+
 def _reduce_once(scratch: Scratch, links: DataFrame, apart: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """One round of stripping and splicing: (links left, joins (x, to), vertices, removed)."""
     ends = _arcs(links).groupBy("x").agg(F.count("*").alias("deg"), F.min(F.struct("r", "y")).alias("best"), F.max(F.struct("r", "y")).alias("worst"))
     ends = ends.join(apart, "x", "left").withColumn("free", F.col("kept").isNull()).drop("kept")
-    ends = scratch.keep(ends, "ends")
+    ends, vertices = _kept(scratch, ends, "ends")
     light = ends.where("free AND deg <= 2").select("x", "deg", F.col("best.y").alias("p"), F.col("best.r").alias("rp"), F.col("worst.y").alias("q"), F.col("worst.r").alias("rq"), F.xxhash64("x").alias("h"))
     about = light.select(F.col("x").alias("n"), F.col("deg").alias("ndeg"), F.struct(F.col("h"), F.col("x")).alias("nh"))
     beside = light.where("deg = 2").select("x", F.struct("h", "x").alias("own"), F.explode(F.array("p", "q")).alias("n")).join(about, "n")
@@ -65,9 +79,7 @@ def _reduce_once(scratch: Scratch, links: DataFrame, apart: DataFrame) -> tuple[
     chosen = light.where("deg = 2").join(blocked, "x", "left_anti").select("x", F.col("p").alias("to"), "p", "q", "rq", F.lit(2).alias("deg"))
     twins = light.where("deg = 1").select("x", "p").join(light.where("deg = 1").select(F.col("x").alias("p"), F.lit(True).alias("twin")), "p", "left")
     leaves = twins.where("twin IS NULL OR x > p").select("x", F.col("p").alias("to"), "p", F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("rq"), F.lit(1).alias("deg"))
-    gone = scratch.keep(leaves.unionByName(chosen), "gone")
-    n = gone.count()
-    vertices = ends.count()
+    gone, n = _kept(scratch, leaves.unionByName(chosen), "gone")
     scratch.drop(ends)
     spliced = gone.where("deg = 2").select(F.col("p").alias("u"), F.col("q").alias("v"), F.col("rq").alias("r"))
     names = gone.select(F.col("x").alias("g"))
@@ -81,8 +93,7 @@ def _contract(scratch: Scratch, links: DataFrame, apart: DataFrame, turn: int) -
     best = best.join(apart, "x", "left").where("kept IS NULL").select("x", F.col("b.y").alias("y"))
     best = best.join(apart.select(F.col("x").alias("y"), F.col("kept").alias("anchor")), "y", "left")
     tail = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
-    joins = scratch.keep(best.where(tail("x") & (F.col("anchor").isNotNull() | ~tail("y"))).select("x", F.col("y").alias("to")), "joins")
-    n = joins.count()
+    joins, n = _kept(scratch, best.where(tail("x") & (F.col("anchor").isNotNull() | ~tail("y"))).select("x", F.col("y").alias("to")), "joins")
     if not n:
         return links, joins, 0
     return scratch.keep(_relabel(links, joins), "links"), joins, n
@@ -147,10 +158,16 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x": names, "to": [clusters.find(int(x)) for x in names]}, dtype="int64")
 
 
+def _by_component(links: DataFrame) -> DataFrame:
+    """``links`` with the component they lie in, as ``core``."""
+    found = components(links, "u", "v").select(F.col("id").alias("u"), F.col("component").alias("core"))
+    return links.join(found, "u")
+
+
 def _mutual_rounds(scratch: Scratch, links: DataFrame, rules: DataFrame, joins: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Parallel rounds for a core too large to replay: links that are best for both
+    """Parallel rounds for components too large to replay: links that are best for both
     ends are accepted, or refused and dropped with their pair for good."""
-    while links.count() > REPLAY_LINKS:
+    while not _by_component(links).groupBy("core").count().where(F.col("count") > COMPONENT_LINKS).isEmpty():
         best = _arcs(links).groupBy("x").agg(F.min("r").alias("r"))
         mutual = links.join(best.select(F.col("x").alias("u"), "r"), ["u", "r"]).join(best.select(F.col("x").alias("v"), "r"), ["v", "r"]).select("u", "v", "r")
         mutual = scratch.keep(mutual.join(rules.select("u", "v", F.lit(True).alias("refused")), ["u", "v"], "left"), "mutual")
@@ -162,6 +179,19 @@ def _mutual_rounds(scratch: Scratch, links: DataFrame, rules: DataFrame, joins:
     return links, rules
 
 
+def _replayed(scratch: Scratch, graph: DataFrame, rules: DataFrame, size: int, joins: list[DataFrame]) -> DataFrame:
+    """(x, to) of the core: in one task, or in one for each of its components; only rules inside the core are sent."""
+    if size > REPLAY_LINKS:
+        graph, rules = _mutual_rounds(scratch, graph, rules, joins)
+        graph = scratch.keep(_by_component(graph), "cores")
+    else:
+        graph = graph.withColumn("core", F.lit(0).cast("long"))
+    inside = graph.select(F.explode(F.array("u", "v")).alias("u"), "core").distinct()
+    rules = rules.select("u", "v").join(inside, "u").join(inside.select(F.col("u").alias("v"), "core"), ["v", "core"])
+    work = graph.select("u", "v", "r", "core").unionByName(rules.select("u", "v", F.lit(-1).cast("long").alias("r"), "core"))
+    return work.groupBy("core").applyInPandas(lambda pdf: _replay(pdf), "x long, to long").where("x <> to")
+
+
 def _restore(scratch: Scratch, joins: DataFrame, depth: int) -> DataFrame:
     """(x, to) with ``to`` the final root, by pointer doubling over at most ``depth`` levels."""
     here, reach = scratch.keep(joins, "pointers"), 1
@@ -220,12 +250,8 @@ def _solved(scratch: Scratch, graph: DataFrame, rules: DataFrame, apart: DataFra
         if n:
             joins.append(gone)
             size = graph.count()
-    if size > REPLAY_LINKS:
-        graph, rules = _mutual_rounds(scratch, graph, rules, joins)
     if size:
-        work = graph.unionByName(rules.select("u", "v", F.lit(-1).cast("long").alias("r"))).withColumn("core", F.lit(0))
-        solved = work.groupBy("core").applyInPandas(lambda pdf: _replay(pdf), "x long, to long")
-        joins.append(scratch.keep(solved.where("x <> to"), "solved"))
+        joins.append(scratch.keep(_replayed(scratch, graph, rules, size, joins), "solved"))
     depth = len(joins)
     table_of_joins = joins[0]
     for more in joins[1:]:

@@ -42,6 +42,9 @@ def made(seed, shape):
         links = [(f"v{i:02d}", f"v{(i + 1) % 40:02d}", round(rnd.random(), 1)) for i in range(40)]
     elif shape == "star":
         links = [("hub", f"v{i:02d}", rnd.random()) for i in range(60)]
+    elif shape == "dense":  # two components whose ids are mostly in forbidden pairs
+        links = [(f"{c}{rnd.randrange(9)}", f"{c}{rnd.randrange(9)}", round(rnd.random(), 2)) for c in "ab" for _ in range(30)]
+        return links, [(f"{c}{i}", f"{c}{j}") for c in "ab" for i, j in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 0))] + [("a1", "b1")]
     else:
         links = [(f"v{rnd.randrange(50):02d}", f"v{rnd.randrange(50):02d}", round(rnd.random(), 1)) for _ in range(70)]
     names = sorted({x for a, b, _ in links for x in (a, b)})
@@ -49,13 +52,27 @@ def made(seed, shape):
     return links, never
 
 
-@pytest.mark.parametrize("shape, bound", [("path", 500_000), ("cycle", 500_000), ("star", 500_000), ("random", 500_000), ("random", 3)])
-def test_against_brute_force(spark, monkeypatch, shape, bound):
+@pytest.mark.parametrize("shape, bound, most", [("path", 500_000, 0), ("cycle", 500_000, 0), ("star", 500_000, 0), ("random", 500_000, 0), ("random", 3, 5_000_000), ("random", 3, 3), ("dense", 3, 5_000_000), ("dense", 3, 3)])
+def test_against_brute_force(spark, monkeypatch, shape, bound, most):
     monkeypatch.setattr(groups, "REPLAY_LINKS", bound)
+    monkeypatch.setattr(groups, "COMPONENT_LINKS", most)
     links, never = made(11, shape)
     assert run(spark, links, never) == brute(links, never)
 
 
+def test_hub(spark):
+    """A vertex with most links, among forbidden pairs and not."""
+    rnd = random.Random(3)
+    links = [("hub", f"v{i:03d}", round(rnd.random(), 2)) for i in range(150)] + [(f"v{rnd.randrange(150):03d}", f"v{rnd.randrange(150):03d}", round(rnd.random(), 2)) for _ in range(60)]
+    for never in ([], [("hub", "v007"), ("v001", "v002"), ("v003", "v009")]):
+        assert run(spark, links, never) == brute(links, never)
+
+
+def test_numbers_need_no_names(spark):
+    links = spark.createDataFrame([(5, 9), (9, 7), (7, 5), (1, 2), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, groups.consolidate(links, "a", "b", []).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (9, 5)]
+
+
 def test_edges(spark):
     assert run(spark, [], []) == []
     assert run(spark, [("a", "a", 1.0), (None, "b", 1.0), ("", "c", 1.0)], []) == []
