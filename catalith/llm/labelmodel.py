@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rounds of expectation-maximisation, and pseudo-votes that keep probabilities off 0 and 1.
-ROUNDS, PRIOR = 60, 0.5
+#: Rounds of expectation-maximisation, and pseudo-votes that keep probabilities off 0 and 1; those of a joined factor.
+ROUNDS, PRIOR, JOINED = 60, 0.5, 10.0
 #: Residual correlation from which two functions are joined, and functions a factor may have.
 CORRELATED, FACTOR = 0.25, 3
 #: First guess: weight of a vote.
@@ -53,9 +53,20 @@ class LabelModel:
         self.tables = []
         for factor in self.factors:
             cells, size = self._cells(patterns, factor), 3 ** len(factor)
-            yes, no = (np.bincount(cells, weights=counts * w, minlength=size) + PRIOR / size for w in (post, 1 - post))
+            yes, no = (self._smoothed(np.bincount(cells, weights=counts * w, minlength=size), len(factor)) for w in (post, 1 - post))
             self.tables.append(self._ratios(yes / yes.sum(), no / no.sum(), len(factor)))
 
+    @staticmethod
+    def _smoothed(votes: np.ndarray, width: int) -> np.ndarray:
+        """Votes on each combination and pseudo-votes; those of a joined factor lie as if its functions were independent."""
+        if width == 1:
+            return votes + PRIOR / votes.size
+        cube, alike = votes.reshape((3,) * width), np.ones((3,) * width)
+        for j in range(width):
+            alone = cube.sum(axis=tuple(k for k in range(width) if k != j)) + PRIOR / 3
+            alike = alike * (alone / alone.sum()).reshape([3 if k == j else 1 for k in range(width)])
+        return votes + JOINED * alike.ravel()
+
     @staticmethod
     def _ratios(yes: np.ndarray, no: np.ndarray, width: int) -> np.ndarray:
         """Log likelihood ratio of each combination, with abstaining functions summed out."""

@@ -10,11 +10,10 @@ packages a link, their pairs with the representatives are links too, since these
 have the same votes or more, so a piece that a third of all packages share costs a
 few rows a package and loses no connection.  (Two packages that only several weak
 pieces together would link are compared if one of them is a representative.)
-Packages of one stem without common evidence are paired the same way, to learn from.
 
 Matching functions vote on each candidate; a generative label model learns their
-accuracies and correlations from the counts of the vote patterns and gives each
-candidate a confidence.  Confident links are consolidated into projects, and the
+accuracies and correlations from the counts of the vote patterns, beside as many
+pairs of strangers, and gives each candidate a confidence.  Confident links are consolidated into projects, and the
 pairs of different registries within a project are the matches.
 
 Components kept in one repository are told apart by the topic in their names.
@@ -217,19 +216,15 @@ def _stars(pieces: DataFrame, by: list[str], stems: bool) -> DataFrame:
 
 
 def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, votes): pairs of package numbers that share evidence or a stem.
-
-    Pairs that share nothing but the stem, or a piece under different stems, are
-    candidates too: from them the model learns how non-matches look.
-    """
+    """(a, b, votes): pairs of package numbers that share evidence, also under different stems."""
     facts = known.select("n", "pid", "stem", "topic", "flags")
-    pieces = found.join(facts, "pid").select("kind", "key", "n", "stem", "topic", "flags")
-    names = facts.where("stem IS NOT NULL").select(F.lit(0).cast("tinyint").alias("kind"), F.col("stem").alias("key"), "n", "stem", "topic", "flags")
+    shared = found.groupBy("kind", "key").count().where("count > 1").select("kind", "key")
+    pieces = found.join(shared, ["kind", "key"], "left_semi").join(facts, "pid").select("kind", "key", "n", "stem", "topic", "flags")
     mixed = pieces.groupBy("kind", "key").agg(F.min("stem").alias("low"), F.max("stem").alias("high")).where("low <> high").select("kind", "key")
     mixed = pieces.join(broadcast_if_small(mixed), ["kind", "key"], "left_semi")
-    pairs = _stars(pieces.where("stem IS NOT NULL").unionByName(names), ["kind", "key", "stem"], False).unionByName(_stars(mixed, ["kind", "key"], True))
-    shared = [F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()]
-    return _voted(pairs.groupBy("a", "b").agg(*shared, F.max("both").alias("both"), F.max("name").alias("name"), F.max("topic").alias("topic")))
+    pairs = _stars(pieces.where("stem IS NOT NULL"), ["kind", "key", "stem"], False).unionByName(_stars(mixed, ["kind", "key"], True))
+    votes = [F.max(F.col("kind") == n).cast("int").alias(k) for k, n in _EVIDENCE.items()]
+    return _voted(pairs.groupBy("a", "b").agg(*votes, F.max("both").alias("both"), F.max("name").alias("name"), F.max("topic").alias("topic")))
 
 
 def _voted(shared: DataFrame) -> DataFrame:
@@ -317,13 +312,8 @@ def link_packages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(scored: DataFrame) -> DataFrame:
-    """Confident candidates; a name alone and components that their topics tell apart are never linked."""
-    return _with_evidence(scored).where((F.col("confidence") >= CONFIDENT) & (F.col("topic") >= 0))
-
-
-def _with_evidence(scored: DataFrame) -> DataFrame:
-    """Candidates that share more than a name."""
-    return scored.where(F.greatest(*[F.col(k) for k in _EVIDENCE]) > 0)
+    """Confident candidates; components that their topics tell apart are never linked."""
+    return scored.where((F.col("confidence") >= CONFIDENT) & (F.col("topic") >= 0))
 
 
 def _projects(scored: DataFrame) -> DataFrame:

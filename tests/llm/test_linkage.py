@@ -109,7 +109,7 @@ def test_representatives_lose_no_connection(spark, seed):
     assert within(grouped(single), links(scored)) and within(links(scored), links(brute)) and len(grouped(single)) > 5
     # a representative pair's votes are those that the pair itself has
     own = {(r["a"], r["b"]): r for r in brute.collect()}
-    for r in linkage._with_evidence(scored).collect():
+    for r in scored.collect():
         full = own[r["a"], r["b"]]
         assert all(r[k] <= full[k] for k in linkage._EVIDENCE) and (r["name"], r["topic"]) == (full["name"], full["topic"])
     assert scored.groupBy("a", "b").count().where("count > 1").isEmpty()
