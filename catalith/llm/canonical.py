@@ -1,10 +1,14 @@
 """Freely typed values mapped to the entries of a canonical list.
 
 The list (a few dozen to some thousand entries, checked before it is broadcast)
-becomes a symmetric-delete dictionary of its words.  An entry is cut into words
-and numbers, each word is looked up within a bounded weighted Damerau-Levenshtein
-distance, and the words decide which list entries the value names.  The lookup
-runs where the rows are: no shuffle, and each task remembers what it resolved.
+becomes a symmetric-delete dictionary of its words.  A value is aligned with whole
+list entries word by word within a bounded weighted Damerau-Levenshtein distance,
+and the candidates rank by distance and reference frequency (``entries``).  That
+serves any list.  For licences, a value that spells no whole entry is cut into the
+names that it joins, and what it says about version and choice ("v2+", "two
+clause", "or any newer") picks the entry; names and words go through the same
+dictionary.  The lookup runs where the rows are: no shuffle, and each task
+remembers what it resolved.
 
 Defined cases: null and blank entries and literal ids of the list are no cases;
 a value that names none, or leaves the version or a choice open that the list
@@ -23,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.llm.entries import Entries
 from catalith.llm.spelling import Dictionary, weighted_distance
 from catalith.util import broadcast_if_small, table
 
@@ -47,6 +52,12 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def _forms(eid: str, name: str | None, short: str | None, family: str) -> set[str]:
+    """Id and name of a licence, also with the short name instead of the family's."""
+    plain = {eid, name or eid}
+    return plain | {re.sub(re.escape(family), short, f, flags=re.I) for f in plain if short} | {re.sub(re.escape(short), family, f) for f in plain if short}
+
+
 def _number(text: str) -> tuple[int, ...]:
     parts = [int(x) for x in text.split(".")]
     while len(parts) > 1 and parts[-1] == 0:
@@ -55,11 +66,13 @@ def _number(text: str) -> tuple[int, ...]:
 
 
 class Resolver:
-    """Finds the list entries that a typed value names."""
+    """Finds the licences that a typed value names."""
 
     def __init__(self, entries: list[tuple[str, str, str, str]], frequency: dict[str, int]):
         """``entries``: id, full name, short name, family."""
+        entries = [e for e in entries if e[3]]
         self.ids = {e[0] for e in entries}
+        self.entries = Entries([(eid, form) for eid, name, short, family in entries for form in _forms(eid, name, short, family)], frequency)
         self.names: dict[str, str] = {}
         weight: dict[str, int] = {}
         self.by_family: dict[str, list[tuple[str, tuple[int, ...] | None, str]]] = {}
@@ -141,6 +154,9 @@ class Resolver:
         text = re.sub(r"^[a-z]+://\S*/([^/\s]+?)(?:\.[a-z]{2,5})?/?(?=\s|$)", r"\1", text, flags=re.I)
         text = re.sub(r"(?<=\s)[a-z]+://\S*/([^/\s]+?)(?:\.[a-z]{2,5})?/?(?=\s|$)", r"\1", text, flags=re.I)
         text = re.sub(r"\blicenseref[:-]", "", text, flags=re.I)
+        whole = self.entries.rank(text)
+        if whole:
+            return (whole[0][1],)
         words = self._words(text)
         at = [i for i, (k, _) in enumerate(words) if k == "name"]
         if not at:
@@ -161,6 +177,18 @@ class Resolver:
         return bool(near) and (near[0] in LATER.split() or near[0] == "any")
 
 
+class Plain:
+    """Finds the entry of a list without a grammar of its own: cities, brands, job titles."""
+
+    def __init__(self, entries: list[tuple[str, ...]], frequency: dict[str, int]):
+        """``entries``: id and further names."""
+        self.entries = Entries([(e[0], form) for e in entries for form in e if form], frequency)
+
+    def resolve(self, value: str) -> tuple[str, ...]:
+        """The id of the best entry; ('',) if the value spells none."""
+        return tuple(e for _, e in self.entries.rank(value)[:1]) or ("",)
+
+
 def _reference(spark: SparkSession, entries: DataFrame, values: DataFrame, value: str) -> tuple[list[tuple], dict[str, int]]:
     """The list on the driver, refused beyond LIST_ROWS, and how often each id occurs literally."""
     rows = entries.limit(LIST_ROWS + 1).collect()
@@ -168,13 +196,14 @@ def _reference(spark: SparkSession, entries: DataFrame, values: DataFrame, value
         raise ValueError(f"a canonical list of more than {LIST_ROWS} entries can't be a broadcast dictionary")
     ids = entries.select(F.col(entries.columns[0]).alias("__id")).distinct()
     counts = values.join(broadcast_if_small(ids), F.col(value) == F.col("__id")).groupBy("__id").count().collect()
-    return [tuple(r) for r in rows if r[0] and r[3]], {r["__id"]: r["count"] for r in counts}
+    return [tuple(r) for r in rows if r[0]], {r["__id"]: r["count"] for r in counts}
 
 
-def map_to_list(values: DataFrame, keys: list[str], value: str, entries: DataFrame) -> DataFrame:
-    """(keys, value, license_id): one row for each list entry a value names, '' for a miss.
+def map_to_list(values: DataFrame, keys: list[str], value: str, entries: DataFrame, resolver: type = Resolver, out: str = "license_id") -> DataFrame:
+    """(keys, value, out): one row for each list entry a value names, '' for a miss.
 
-    ``entries`` has four columns: id, name, short name, family.
+    ``entries`` has four columns for licences (id, name, short name, family; rows
+    without id or family are left out), and an id and any other names for ``Plain``.
     """
     spark = values.sparkSession
     listed, frequency = _reference(spark, entries, values, value)
@@ -184,19 +213,19 @@ def map_to_list(values: DataFrame, keys: list[str], value: str, entries: DataFra
     cases = cases.join(broadcast_if_small(ids, LIST_ROWS), F.col(value) == F.col("__id"), "left_anti").select(*keys, value)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver, seen = Resolver(*known.value), OrderedDict()
+        names, seen = resolver(*known.value), OrderedDict()
         for pdf in batches:
             codes, unique = pd.factorize(pdf[value])
             found = []
             for v in unique:
                 if v not in seen:
-                    seen[v] = resolver.resolve(v)
+                    seen[v] = names.resolve(v)
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
                 found.append(list(seen[v]))
-            yield pdf.assign(license_id=[found[c] for c in codes]).explode("license_id")
+            yield pdf.assign(**{out: [found[c] for c in codes]}).explode(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema.fields) + ", license_id string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema.fields) + f", `{out}` string"
     return cases.mapInPandas(run, schema)
 
 

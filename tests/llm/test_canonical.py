@@ -1,6 +1,7 @@
 import pytest
 
-from catalith.llm.canonical import Resolver, map_to_list
+from catalith.llm.canonical import Plain, Resolver, map_to_list
+from catalith.llm.entries import Entries, learned_fillers, words
 from catalith.llm.spelling import Dictionary, allowed_edits, deletions, weighted_distance
 
 LIST = [("Fir-1.0", "Fir License 1.0", "FRL", "Firwood"), ("Fir-2.0", "Fir License 2.0", "FRL", "Firwood"), ("Oak", "Oakheart License", "OKL", "Oakheart")]
@@ -74,3 +75,25 @@ def test_long_entries_take_little_time():
     for value in ("a" * 20_000, "x://" + "a/" * 10_000 + " ", "[" * 20_000, "(see " * 4_000, " " * 20_000 + "x", "a b " * 5_000, "x://" + "a" * 20_000, "; " * 10_000):
         Resolver(LIST, {}).resolve(value)
     assert time.perf_counter() - begun < 30
+
+
+CITIES = [("c1", "San Marolo"), ("c2", "San Teviso"), ("c3", "Port Elvane"), ("c4", "Elvane"), ("c5", "Neustadt 3"), ("c6", "New Karlwick"), ("c7", "Karlwyck")]
+
+
+def test_another_list(spark, rows):
+    """A list of cities with the same dictionary and ranking: no rule of licences takes part."""
+    values = [("san marolo", "c1"), ("San Maroloo", "c1"), ("Teviso, San", "c2"), ("san tevsio", "c2"), ("Elvane", "c4"), ("port elvnae", "c3"), ("Neustadt 3", "c5"), ("Neustadt 4", ""), ("new karlwick", "c6"), ("Karlwick", "c7"), ("San", ""), ("Unknown Town", ""), ("x" * 90, "")]
+    frame = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(values)], "id int, city string")
+    listed = spark.createDataFrame(CITIES, "city_id string, city_name string")
+    got = map_to_list(frame, ["id"], "city", listed, Plain, "city_id")
+    assert rows(got.select("id", "city_id")) == sorted(((i, e) for i, (_, e) in enumerate(values)), key=repr)
+    assert map_to_list(frame, ["id"], "city", listed.limit(0), Plain, "city_id").where("city_id <> ''").count() == 0
+
+
+def test_ranking():
+    """Distance first, then frequency; fillers are learned and never decide."""
+    jobs = Entries([("a", "Senior Build Enginer"), ("b", "Senior Build Engineers"), ("c", "Chief Tester"), ("d", "Chief Taster")], {"d": 5})
+    assert [e for _, e in jobs.rank("senior build engineer")] == ["a", "b"] and [e for _, e in jobs.rank("chief toster")] == ["d", "c"]
+    assert jobs.rank("chief tester")[0] == (0.0, "c") and jobs.rank("chief") == [] and jobs.rank("") == []
+    forms = [(i, frozenset(words(n))) for i, n, _, _ in LIST]
+    assert learned_fillers(forms) >= {"license", "clause"} and not learned_fillers(forms) & {"only", "later", "quill", "kestrel"}
