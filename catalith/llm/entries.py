@@ -34,7 +34,7 @@ def words(text: str) -> list[str]:
 
 
 def learned_fillers(forms: list[tuple[str, frozenset[str]]]) -> set[str]:
-    """Words of several entries without which no entry's words lie within another entry's."""
+    """Words that go with several names and without which no entry's words lie within another entry's."""
     holders: dict[str, set[int]] = defaultdict(set)
     for i, (_, form) in enumerate(forms):
         for w in form:
@@ -44,6 +44,8 @@ def learned_fillers(forms: list[tuple[str, frozenset[str]]]) -> set[str]:
     for w, n in spread.most_common():
         if n < 2:
             break
+        if len({frozenset(x for x in forms[i][1] if x != w and x[0].isalpha()) for i in holders[w]}) < 2:
+            continue  # it always stands beside the same words: a name, not a filler
         for i in holders[w]:
             entry, rest = forms[i][0], forms[i][1] - fillers - {w}
             rare = min(rest, key=lambda x: len(holders[x]), default=None)

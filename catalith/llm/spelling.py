@@ -59,16 +59,15 @@ class Dictionary:
 
     def near(self, query: str) -> list[tuple[str, float]]:
         """All words within the bound with their weighted distance, best first."""
-        if query in self.words:
-            return [(query, 0.0)]
         if len(query) > self.longest + 2:  # no word is within two edits
             return []
         found = set()
         for form in deletions(query, allowed_edits(len(query) + 1)):
             found |= self.index.get(form, set())
-        ranked = sorted((d, -self.words[w], w) for w in found - self.exact if (d := weighted_distance(query, w)) <= allowed_edits(max(len(w), len(query))))
+        open_ = found - self.exact | ({query} & self.words.keys())
+        ranked = sorted((d, -self.words[w], w) for w in open_ if (d := weighted_distance(query, w)) <= allowed_edits(max(len(w), len(query))))
         return [(w, d) for d, _, w in ranked]
 
     def closest(self, query: str) -> tuple[str, float] | None:
         """The best word and its weighted distance, or None."""
-        return next(iter(self.near(query)), None)
+        return (query, 0.0) if query in self.words else next(iter(self.near(query)), None)

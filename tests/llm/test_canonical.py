@@ -96,4 +96,4 @@ def test_ranking():
     assert [e for _, e in jobs.rank("senior build engineer")] == ["a", "b"] and [e for _, e in jobs.rank("chief toster")] == ["d", "c"]
     assert jobs.rank("chief tester")[0] == (0.0, "c") and jobs.rank("chief") == [] and jobs.rank("") == []
     forms = [(i, frozenset(words(n))) for i, n, _, _ in LIST]
-    assert learned_fillers(forms) >= {"license", "clause"} and not learned_fillers(forms) & {"only", "later", "quill", "kestrel"}
+    assert learned_fillers(forms) >= {"license"} and not learned_fillers(forms) & {"only", "or", "later", "kestrel", "2", "3"}
