@@ -16,6 +16,7 @@ QUERIES = {
     "p8_found": leakage.p8_found,
     "p9_found": truncation.p9_found,
     "p9_sources": truncation.p9_sources,
+    "p9_reasons": truncation.p9_reasons,
 }
 ORACLES = {
     "p1_found": oracles_p1.P1_FOUND_SQL,

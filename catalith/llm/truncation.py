@@ -3,8 +3,12 @@
 Per source the lengths of all texts are counted, in characters and in bytes.  A
 length is a spike if it holds far more texts than the lengths around it and lies
 where the source's lengths end (its maximum, or the maximum of what still fits a
-byte limit).  A text at a spike without terminal punctuation was cut, as was one
-that ends in a truncation mark or in a torn tag or entity.
+byte limit).  A source that cuts behind the last whole word, or writes a mark after
+the cut, ends in a band of lengths instead: a band is a limit if it holds
+significantly more texts than the lengths before it let expect.  A text at a spike
+without terminal punctuation was cut, as was one that ends in a truncation mark or
+in a torn tag or entity; the band says that a source cuts, and its texts are judged
+by their ends.
 
 Transfers also break off at any length, so texts off the spikes are judged by
 their last line: running prose without terminal punctuation was cut; a list item,
@@ -32,6 +36,8 @@ from catalith.util import Scratch, broadcast_if_small, table
 SPIKE_TEXTS, SPIKE_FACTOR = 8, 6.0
 #: Lengths on either side that a spike is held against.
 AROUND = 24
+#: Lengths of a band at a limit (a word and a mark), bands before it that tell what to expect, and standard deviations above that.
+BAND, BEFORE, DEVIATIONS = 12, 5, 6.0
 #: Share of a source's texts that may be longer than a spike (rows that escaped the limit).
 LONGER_SHARE = 0.02
 #: Lines that must begin alike, and the share of them that must equal a closing.
@@ -68,15 +74,21 @@ def _head(line: Column) -> Column:
 
 
 def spikes(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, unit, n): lengths at which a source cuts its texts."""
+    """(source, unit, n, exact): lengths at which a source cuts its texts; not ``exact`` are those of a band at a limit."""
     units = F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n")))
     lengths = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.explode(units).alias("u")).groupBy("source", "u.unit", "u.n").agg(F.count("*").alias("texts"))
     own = Window.partitionBy("source", "unit")
     near = own.orderBy("n").rangeBetween(-AROUND, AROUND)
-    seen = lengths.withColumns({"all": F.sum("texts").over(own), "upto": F.sum("texts").over(own.orderBy("n")), "near": F.sum("texts").over(near)})
+    here, before = own.orderBy("n").rangeBetween(1 - BAND, 0), own.orderBy("n").rangeBetween(-(BEFORE + 1) * BAND + 1, -BAND)
+    seen = lengths.withColumns({
+        "all": F.sum("texts").over(own), "upto": F.sum("texts").over(own.orderBy("n")), "near": F.sum("texts").over(near),
+        "band": F.sum("texts").over(here), "expected": F.coalesce(F.sum("texts").over(before), F.lit(0)) / BEFORE})
     mean = (F.col("near") - F.col("texts")) / (2.0 * AROUND)
-    spike = (F.col("texts") >= SPIKE_TEXTS) & (F.col("texts") >= SPIKE_FACTOR * mean) & (F.col("all") - F.col("upto") <= F.col("all") * LONGER_SHARE)
-    return seen.where(spike).select("source", "unit", "n")
+    last = F.col("all") - F.col("upto") <= F.col("all") * LONGER_SHARE
+    spike = (F.col("texts") >= SPIKE_TEXTS) & (F.col("texts") >= SPIKE_FACTOR * mean) & last
+    limit = (F.col("band") >= SPIKE_TEXTS) & (F.col("band") - F.col("expected") >= DEVIATIONS * F.sqrt(F.col("expected") + 1)) & last
+    told = seen.select("source", "unit", "n", spike.alias("exact"), F.max(limit).over(own.orderBy("n").rangeBetween(0, BAND - 1)).alias("limit"))
+    return told.where("exact OR limit").select("source", "unit", "n", "exact")
 
 
 def closings(docs: DataFrame, text: str) -> DataFrame:
@@ -94,7 +106,10 @@ def closings(docs: DataFrame, text: str) -> DataFrame:
 
 
 def find_truncated(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, reason) of the texts that were cut; reason: spike, mark, torn or fragment."""
+    """(doc_id, source, reason) of the texts that were cut; reason: spike, limit, mark, torn or fragment.
+
+    ``spike`` and ``limit`` are lengths at which the source's histogram shows a cut.
+    """
     scratch = Scratch(docs.sparkSession, "truncation")
     peaks = scratch.keep(spikes(docs, source, text), "spikes")
     t = F.col(text)
@@ -112,19 +127,22 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", source: str = "sourc
     tail = scratch.keep(tail, "tails")
     known = closings(docs, text).join(tail.where("NOT formed AND NOT marked AND NOT torn AND length(line) <= 80").select("m").distinct(), "m", "left_semi")
     known = scratch.keep(known.withColumn("closing", F.lit(True)), "closings")
-    by_chars = peaks.where("unit = 'chars'").select(F.col("source").alias("sc"), F.col("n").alias("nc"), F.lit(True).alias("at_chars"))
-    by_bytes = peaks.where("unit = 'bytes'").select(F.col("source").alias("sb"), F.col("n").alias("nb"), F.lit(True).alias("at_bytes"))
+    at = lambda unit, c: peaks.where(F.col("unit") == unit).select(F.col("source").alias(f"s_{c}"), F.col("n").alias(f"n_{c}"), F.col("exact").alias(f"at_{c}"))
     judged = (
-        tail.join(broadcast_if_small(by_chars), F.col("source").eqNullSafe(F.col("sc")) & (F.col("chars") == F.col("nc")), "left")
-        .join(broadcast_if_small(by_bytes), F.col("source").eqNullSafe(F.col("sb")) & (F.col("bytes") == F.col("nb")), "left")
+        tail.join(broadcast_if_small(at("chars", "chars")), F.col("source").eqNullSafe(F.col("s_chars")) & (F.col("chars") == F.col("n_chars")), "left")
+        .join(broadcast_if_small(at("bytes", "bytes")), F.col("source").eqNullSafe(F.col("s_bytes")) & (F.col("bytes") == F.col("n_bytes")), "left")
         .join(known, "m", "left")
     )
-    at_spike = F.coalesce("at_chars", F.coalesce("at_bytes", F.lit(False)))
+    exact = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    limit = F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull()
+    fragment = ~F.col("ended") & ~F.col("formed") & F.col("closing").isNull()
+    broken = F.col("marked") | F.col("torn")
     reason = (
-        F.when(F.col("marked"), "mark")
+        F.when(exact & (broken | ~F.col("ended")), "spike")
+        .when(limit & (broken | fragment), "limit")
+        .when(F.col("marked"), "mark")
         .when(F.col("torn"), "torn")
-        .when(at_spike & ~F.col("ended"), "spike")
-        .when(~F.col("ended") & ~F.col("formed") & F.col("closing").isNull(), "fragment")
+        .when(fragment, "fragment")
     )
     return judged.select("doc_id", "source", reason.alias("reason")).where("reason IS NOT NULL")
 
@@ -141,3 +159,12 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = docs.groupBy("source").agg(F.count("*").alias("texts")).select(F.col("source").alias("__s"), "texts")
     both = total.join(cut, F.col("__s").eqNullSafe(F.col("source")), "left")
     return both.select(F.col("__s").alias("source"), "texts", F.coalesce("cut", F.lit(0)).alias("cut"), F.round(F.coalesce("cut", F.lit(0)) / F.col("texts"), 6).alias("share"))
+
+
+def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, reason, texts, share): what shows the cuts of each source, and the share of its cut texts."""
+    cut = find_truncated(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).dropDuplicates(["doc_id"])
+    counted = cut.groupBy("source", "reason").agg(F.count("*").alias("texts"))
+    total = counted.groupBy(F.col("source").alias("__s")).agg(F.sum("texts").alias("all"))
+    both = counted.join(total, F.col("source").eqNullSafe(F.col("__s")))
+    return both.select("source", "reason", "texts", F.round(F.col("texts") / F.col("all"), 6).alias("share"))

@@ -46,3 +46,17 @@ def test_found(spark):
     assert {(r["source"], r["unit"], r["n"]) for r in spikes(frame, "source", "text").collect()} >= {("limited", "chars", 200), ("bytes", "bytes", 256)}
     assert "happy building" in {r["m"] for r in closings(frame, "text").collect()}
     assert find_truncated(frame.limit(0)).count() == 0
+
+
+def test_limit_bands(spark):
+    """A source that cuts behind words ends in a band of lengths; one that doesn't cut has none."""
+    rows = []
+    for i in range(120):
+        text = " ".join(f"word{'xyzuvw'[(i * k) % 6] * ((i + k) % 7)}" for k in range(80))
+        rows.append((i, text[:300].rsplit(" ", 1)[0] if i % 3 else text[: 60 + i], "behind words"))
+        rows.append((1000 + i, text[: 150 + (i * 37) % 400] + ".", "free"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = spikes(docs, "source", "text").where("unit = 'chars'").collect()
+    assert {r["source"] for r in found} == {"behind words"} and max(r["n"] for r in found) <= 300 and min(r["n"] for r in found) > 280
+    reasons = {r["doc_id"]: r["reason"] for r in find_truncated(docs).collect()}
+    assert sum(reasons.get(i) in ("limit", "spike") for i in range(120) if i % 3) == 80 and not any(i >= 1000 for i in reasons)
