@@ -30,11 +30,16 @@ def other_names(rows: DataFrame, group: str, name: str) -> DataFrame:
     return rest.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(F.lower(name).alias("k"), F.col(name).alias("v")))), lambda x: x["v"]), ",").alias("aliases"))
 
 
+def summary_rank(registry: Column, dedicated: Column) -> Column:
+    """Quality of a registry's summary; a dedicated one counts more."""
+    return _rank(SUMMARY_QUALITY, registry, SUMMARY_OTHER) + F.when(dedicated, SUMMARY_DEDICATED).otherwise(0)
+
+
 def best_summary(rows: DataFrame, group: str, registry: str, summary: str, description: str, row_id: str) -> DataFrame:
     """(group, summary_text): by registry, dedicated summaries first; ties go to the greater text and id."""
     dedicated = F.coalesce(F.col(summary), F.lit("")) != ""
     text = F.when(dedicated, F.col(summary)).otherwise(F.coalesce(description, F.lit("")))
-    score = _rank(SUMMARY_QUALITY, F.col(registry), SUMMARY_OTHER) + F.when(dedicated, SUMMARY_DEDICATED).otherwise(0)
+    score = summary_rank(F.col(registry), dedicated)
     return rows.where(text != "").groupBy(group).agg(F.max_by(text, F.struct(score, text, F.col(row_id))).alias("summary_text"))
 
 

@@ -60,11 +60,13 @@ def relevant(rows: DataFrame, field: str, least: float = 0.5) -> DataFrame:
 def override(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Rows with curated values of ``fields`` (a map column ``values``) and a ``hidden`` flag.
 
-    A field that the map holds replaces the row's, also by an empty value.
+    A field that the map holds replaces the row's, also by an empty value; lists are
+    stated as JSON.
     """
+    typed = lambda f, kind: F.from_json(F.col("values")[f], kind) if kind.typeName() in ("array", "map", "struct") else F.col("values")[f].cast(kind)
     one = overrides.select(F.col(key).alias("__key"), "values", F.coalesce("hidden", F.lit(False)).alias("__hidden"))
     joined = rows.drop("hidden").join(broadcast_if_small(one), F.col(key) == F.col("__key"), "left")
-    new = {f: F.when(F.coalesce(F.map_contains_key("values", F.lit(f)), F.lit(False)), F.col("values")[f].cast(rows.schema[f].dataType)).otherwise(F.col(f)) for f in fields}
+    new = {f: F.when(F.coalesce(F.map_contains_key("values", F.lit(f)), F.lit(False)), typed(f, rows.schema[f].dataType)).otherwise(F.col(f)) for f in fields}
     return joined.withColumns({**new, "hidden": F.coalesce("__hidden", F.lit(False))}).drop("__key", "values", "__hidden")
 
 
