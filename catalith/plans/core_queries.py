@@ -302,19 +302,18 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # entity resolution
 
 
-def _packages(spark: SparkSession, sf_dir: str, sources: bool = True) -> DataFrame:
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per package with what comparison needs, from all of its releases.
 
-    Without ``sources`` the urls and checksums of upstream sources stay empty, as in
-    ``_PACKAGES_SQL``.  The table has no authors, maintainers and package types.
+    The table has no authors, maintainers and package types.
     """
     rows = table(spark, sf_dir, "package_versions")
     said = lambda c: F.when(F.trim(c) != "", F.trim(c))
     repo = names.host_path(F.col("repository_url"))
     none = F.array().cast("array<string>")
     upstream = F.filter(F.coalesce("artifacts", F.array()), lambda a: F.lower(F.trim(a["kind"])) == "upstream_source")
-    urls = F.array_compact(F.transform(upstream, lambda a: said(a["url"]))) if sources else none
-    sums = F.array_compact(F.flatten(F.transform(upstream, lambda a: F.transform(F.coalesce(a["checksums"], none), names.plain_checksum)))) if sources else none
+    urls = F.array_compact(F.transform(upstream, lambda a: said(a["url"])))
+    sums = F.array_compact(F.flatten(F.transform(upstream, lambda a: F.transform(F.coalesce(a["checksums"], none), names.plain_checksum))))
     rows = rows.select(
         clean_id("package_id").alias("id"), said(F.lower("package_name")).alias("name"), F.col("release_version"), "licenses",
         F.when(repo.rlike(r"^[^/]+\.example/[^/]+/[^/]+$"), repo).alias("repo"), F.nullif(names.host_path(F.col("homepage")), F.lit("")).alias("page"), F.col("summary"), urls.alias("urls"), sums.alias("sums"))
@@ -333,14 +332,17 @@ WITH rows AS (
     list_filter(list_transform(coalesce(licenses, []), lambda v: lower(trim(coalesce(v, '')))), lambda v: v <> '' AND v NOT IN ('noassertion', 'unknown', 'unspecified')) AS lic,
     regexp_replace(regexp_replace(lower(regexp_extract(trim(coalesce(repository_url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '^www\.', ''), '/+$', '') AS repo0,
     nullif(regexp_replace(regexp_replace(lower(regexp_extract(trim(coalesce(homepage, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '^www\.', ''), '/+$', ''), '') AS page
+    , list_filter(list_transform(list_filter(coalesce(artifacts, []), lambda a: lower(trim(a.kind, ' ')) = 'upstream_source'), lambda a: trim(a.url, ' ')), lambda u: u IS NOT NULL AND u <> '') AS urls,
+    list_filter(list_transform(list_transform(flatten(list_transform(list_filter(coalesce(artifacts, []), lambda a: lower(trim(a.kind, ' ')) = 'upstream_source'), lambda a: coalesce(a.checksums, []))),
+      lambda c: regexp_extract(lower(trim(c, ' ')), '([0-9a-f]{32,128})\s*$', 1)), lambda d: CASE length(d) WHEN 32 THEN 'md5:' || d WHEN 40 THEN 'sha1:' || d WHEN 64 THEN 'sha256:' || d WHEN 128 THEN 'sha512:' || d END), lambda c: c IS NOT NULL) AS sums
   FROM package_versions
 ), packages AS (
   SELECT id, split_part(id, ':', 1) AS registry, min(name) AS name, min(page) AS homepage,
     list(DISTINCT repo0) FILTER (regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$')) AS repos, min(repo0) FILTER (regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$')) AS repo,
-    list(DISTINCT ver) AS versions, list_distinct(flatten(list(lic))) AS licenses
+    list(DISTINCT ver) AS versions, list_distinct(flatten(list(lic))) AS licenses, list_distinct(flatten(list(urls))) AS urls, list_distinct(flatten(list(sums))) AS sums
   FROM rows GROUP BY id
 ), keyed AS (
-  SELECT id, registry, unnest(list_distinct(list_filter(['s:' || regexp_replace(name, '[-_.+]', '', 'g'), 'a:' || regexp_replace(regexp_replace(name, '[-_.+]', '', 'g'), '^lib', ''), 'r:' || repo, 'h:' || homepage], lambda k: k IS NOT NULL))) AS k FROM packages
+  SELECT id, registry, unnest(list_distinct(list_filter(['s:' || regexp_replace(name, '[-_.+]', '', 'g'), 'a:' || regexp_replace(regexp_replace(name, '[-_.+]', '', 'g'), '^lib', ''), 'r:' || repo, 'h:' || homepage] || list_transform(urls, lambda u: 'u:' || lower(u)) || list_transform(sums, lambda c: 'c:' || c), lambda k: k IS NOT NULL))) AS k FROM packages
 ), pairs AS (
   SELECT DISTINCT a.id AS "left", b.id AS "right" FROM keyed a JOIN keyed b USING (k) WHERE a.id < b.id AND a.registry <> b.registry
 ), repeated AS (
@@ -348,7 +350,7 @@ WITH rows AS (
 ), scored AS (
   SELECT p."left", p."right", x.name = y.name AS exact, regexp_replace(x.name, '[-_.+]', '', 'g') = regexp_replace(y.name, '[-_.+]', '', 'g') AS spelled,
     regexp_replace(regexp_replace(x.name, '[-_.+]', '', 'g'), '^lib', '') = regexp_replace(regexp_replace(y.name, '[-_.+]', '', 'g'), '^lib', '') AS aliased,
-    coalesce(list_has_any(x.repos, y.repos), false) AS repo, x.homepage = y.homepage AND NOT coalesce(r.repeated, false) AS page,
+    coalesce(list_has_any(x.repos, y.repos), false) AS same_repo, list_has_any(x.urls, y.urls) AS url, list_has_any(x.sums, y.sums) AS summed, same_repo OR url OR summed AS repo, x.homepage = y.homepage AND NOT coalesce(r.repeated, false) AS page,
     list_has_any(x.licenses, y.licenses) AS lic, len(x.licenses) > 0 AND len(y.licenses) > 0 AS lics, list_has_any(x.versions, y.versions) AS ver
   FROM pairs p JOIN packages x ON x.id = p."left" JOIN packages y ON y.id = p."right" LEFT JOIN repeated r ON r.homepage = x.homepage
 ), weighed AS (
@@ -363,23 +365,23 @@ WITH rows AS (
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right" FROM pairs')
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.block_pairs(_packages(spark, sf_dir, sources=False))
+    return resolve.block_pairs(_packages(spark, sf_dir))
 
 
-def _scored(spark: SparkSession, sf_dir: str, texts: bool = False, sources: bool = True) -> tuple[DataFrame, DataFrame]:
-    packages = _packages(spark, sf_dir, sources)
+def _scored(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    packages = _packages(spark, sf_dir)
     return packages, resolve.score_pairs(resolve.block_pairs(packages), packages, texts)
 
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right", confidence FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45')
 def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, sources=False)[1].select("left", "right", "confidence")
+    return _scored(spark, sf_dir)[1].select("left", "right", "confidence")
 
 
-@query(_PACKAGES_SQL + """SELECT "left", "right", CASE WHEN exact THEN 7 WHEN spelled THEN 6 WHEN aliased THEN 3 WHEN repo THEN 1 ELSE 0 END AS priority
+@query(_PACKAGES_SQL + """SELECT "left", "right", CASE WHEN exact THEN 7 WHEN spelled THEN 6 WHEN summed THEN 5 WHEN url THEN 4 WHEN aliased THEN 3 WHEN same_repo THEN 1 ELSE 0 END AS priority
 FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45""")
 def merge_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, sources=False)[1].select("left", "right", "priority")
+    return _scored(spark, sf_dir)[1].select("left", "right", "priority")
 
 
 @query()
@@ -389,7 +391,11 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("left", "right", "confidence", F.array_join(F.transform(similar, lambda e: e["signal"]), ",").alias("texts"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT lower(trim(left_id)) AS x, lower(trim(right_id)) AS y FROM package_matches WHERE lower(trim(decision)) IN ('merge', 'manual_merge') AND lower(trim(left_id)) <> lower(trim(right_id))),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS id, x AS c FROM b UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.id WHERE r.c < b.y)
+SELECT id, min(c) AS component FROM r GROUP BY id
+""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "package_matches").where(clean_id("decision").isin("merge", "manual_merge"))
     return resolve.components(rows.select(clean_id("left_id").alias("left"), clean_id("right_id").alias("right")).where("left <> right"))
