@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from catalith.functions import ids, names
 
@@ -141,8 +142,8 @@ def components(edges: DataFrame, left: str = "left", right: str = "right") -> Da
 class Merger:
     """Sequential merging of one component: forbidden pairs, and one package per registry unless they are one code base."""
 
-    def __init__(self, rows: dict[str, dict], forbidden: set[frozenset]):
-        self.rows, self.forbidden = rows, forbidden
+    def __init__(self, rows: dict[str, dict], forbidden: set[frozenset], protected: set[str] = frozenset()):
+        self.rows, self.forbidden, self.protected = rows, forbidden, set(protected)
         self.parent = {k: k for k in rows}
         self.members = {k: [k] for k in rows}
 
@@ -165,8 +166,10 @@ class Merger:
         return (ratio is None or ratio >= SIMILAR) and not (all(types) and types[0] != types[1])
 
     def join(self, a: str, b: str, force: bool = False) -> str:
-        """merge, manual_merge or conflict."""
+        """merge, manual_merge, conflict, or none if a protected group would grow by a match."""
         a, b = self.find(a), self.find(b)
+        if not force and (a in self.protected or b in self.protected):
+            return "none"
         if a == b:
             return "merge"
         if not force:
@@ -178,13 +181,16 @@ class Merger:
                         return "conflict"
         self.parent[b] = a
         self.members[a] += self.members.pop(b)
+        if b in self.protected:
+            self.protected = self.protected - {b} | {a}
         return "manual_merge" if force else "merge"
 
 
-def constrained_merge(packages: DataFrame, matches: DataFrame, forced: DataFrame | None = None, forbidden: DataFrame | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def constrained_merge(packages: DataFrame, matches: DataFrame, forced: DataFrame | None = None, forbidden: DataFrame | None = None, threshold: float = THRESHOLD, protected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, entity_root), (left, right, decision)): matches merged by priority, confidence and ids.
 
-    Forced pairs come first, in their order.  A component of accepted and forced
+    Forced pairs come first, in their order.  Groups of ``protected`` packages (id)
+    grow by forced pairs only.  A component of accepted and forced
     pairs is one task's work; blocking keeps components small.
     """
     spark = packages.sparkSession
@@ -198,13 +204,14 @@ def constrained_merge(packages: DataFrame, matches: DataFrame, forced: DataFrame
     inside = comps.select(F.col("id").alias("left"), "component")
     rules = never.join(inside, "left").select("left", "right", "component", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("priority"), F.lit(False).alias("force"))
     links = work.join(inside, "left").select("left", "right", "component", "confidence", "priority", "force").unionByName(rules)
-    facts = packages.join(comps.select("id", F.col("component").alias("comp")), "id").select("comp", "id", "registry", "source_urls", "checksums", "repositories", "description", "package_type")
+    guarded = protected.select("id", F.lit(True).alias("guarded")).distinct() if protected is not None else spark.createDataFrame([], "id string, guarded boolean")
+    facts = packages.join(comps.select("id", F.col("component").alias("comp")), "id").join(guarded, "id", "left").select("comp", "guarded", "id", "registry", "source_urls", "checksums", "repositories", "description", "package_type")
 
     def run(key: tuple, edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         listed = lambda v: [] if v is None else list(v)
         held = {r["id"]: r | {c: listed(r[c]) for c in ("source_urls", "checksums", "repositories")} for r in rows.to_dict("records")}
         is_rule = edges["confidence"].isna()
-        merger = Merger(held, {frozenset(p) for p in edges[is_rule][["left", "right"]].itertuples(index=False, name=None)})
+        merger = Merger(held, {frozenset(p) for p in edges[is_rule][["left", "right"]].itertuples(index=False, name=None)}, {r["id"] for r in rows.to_dict("records") if r["guarded"] is True})
         out = []
         for e in edges[~is_rule].sort_values(["force", "priority", "confidence", "left", "right"], ascending=[False, False, False, True, True]).itertuples(index=False):
             out.append(("match", e.left, e.right, merger.join(e.left, e.right, bool(e.force))))
@@ -224,11 +231,40 @@ def constrained_merge(packages: DataFrame, matches: DataFrame, forced: DataFrame
     return roots, done.where("what = 'match'").select(F.col("a").alias("left"), F.col("b").alias("right"), "decision")
 
 
-def entity_ids(groups: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """(root, entity_id): ids of an earlier run kept greedily by overlap, then slugs, then slugs with a digest.
+def manual_groups(groups: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forced, members) from curated groups (ord, packages, optional, and optionally id, name, aliases).
+
+    ``forced`` (left, right, ord, confidence, evidence) links each group's packages in
+    their order; ``members`` (id, ord, curated_id, curated_name, curated_aliases) says
+    what curators call them, the first group that names a package.  An unknown package
+    is an error, unless it is optional; so is a group without any package.
+    """
+    have = {c: F.col(c) if c in groups.columns else F.lit(None).cast(t) for c, t in (("optional", "array<string>"), ("id", "string"), ("name", "string"), ("aliases", "array<string>"))}
+    rows = groups.select("ord", "packages", have["optional"].alias("optional"), have["id"].alias("curated_id"), have["name"].alias("curated_name"), have["aliases"].alias("curated_aliases"))
+    none = F.array().cast("array<string>")
+    listed = rows.select("*", F.posexplode(F.concat(F.coalesce("packages", none), F.coalesce("optional", none))).alias("place", "package")).drop("packages", "optional").join(rows.select("ord", F.size(F.coalesce("packages", none)).alias("required")), "ord")
+    known = listed.join(packages.select(F.col("id").alias("package"), F.lit(True).alias("known")), "package", "left")
+    unknown = [r["package"] for r in known.where("known IS NULL AND place < required").select("package").distinct().orderBy("package").limit(20).collect()]
+    if unknown:
+        raise ValueError(f"manual groups name unknown packages: {', '.join(unknown)}")
+    known = known.where("known").groupBy("ord", "package", "curated_id", "curated_name", "curated_aliases").agg(F.min("place").alias("place"))
+    empty = rows.select("ord").join(known.select("ord").distinct(), "ord", "left_anti").first()
+    if empty is not None:
+        raise ValueError("a manual group needs a package")
+    following = F.lead("package").over(Window.partitionBy("ord").orderBy("place"))
+    pairs = known.select("ord", "place", F.col("package").alias("left"), following.alias("right")).where("right IS NOT NULL")
+    evidence = F.array(F.struct(F.lit("manual package group override").alias("signal"), F.lit(1.0).alias("weight")))
+    forced = pairs.select("left", "right", (F.col("ord") * 1000 + F.col("place")).cast("int").alias("ord"), F.lit(1.0).alias("confidence"), evidence.alias("evidence"))
+    first = known.groupBy(F.col("package").alias("id")).agg(F.min(F.struct("ord", "curated_id", "curated_name", "curated_aliases")).alias("m")).select("id", "m.*")
+    return forced, first
+
+
+def entity_ids(groups: DataFrame, previous: DataFrame | None = None, curated: DataFrame | None = None) -> DataFrame:
+    """(root, entity_id): curated ids, ids of an earlier run kept greedily by overlap, then slugs, then slugs with a digest.
 
     ``groups``: root, name, members (sorted array).  Ties of the overlap go to the
-    smaller earlier id, then to the smaller root.
+    smaller earlier id, then to the smaller root.  A curated id (root, curated_id)
+    that another entity holds is an error.
     """
     spark = groups.sparkSession
     kept = spark.createDataFrame([], "root string, entity_id string")
@@ -247,6 +283,13 @@ def entity_ids(groups: DataFrame, previous: DataFrame | None = None) -> DataFram
             return pd.DataFrame({"root": list(out), "entity_id": list(out.values())})
 
         kept = tagged.groupBy("component").applyInPandas(assign, "root string, entity_id string")
+    if curated is not None:
+        wished = curated.where("curated_id IS NOT NULL").select("root", F.col("curated_id").alias("entity_id")).distinct()
+        held = wished.unionByName(kept.select("root", "entity_id")).groupBy("entity_id").agg(F.count_distinct("root").alias("roots"))
+        twice = wished.join(held.where("roots > 1"), "entity_id", "left_semi").first()
+        if twice is not None:
+            raise ValueError(f"curated id is not unique: {twice['entity_id']}")
+        kept = kept.join(wished.select("root"), "root", "left_anti").select("root", "entity_id").unionByName(wished)
     named = groups.join(kept.withColumnRenamed("entity_id", "kept"), "root", "left").withColumn("base", ids.slug(F.col("name")))
     fresh = named.where("kept IS NULL").groupBy("base").agg(F.count("*").alias("sharing"))
     taken = kept.select(F.col("entity_id").alias("base"), F.lit(True).alias("taken")).distinct()

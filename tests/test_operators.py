@@ -124,6 +124,32 @@ def test_constrained_merge(spark, rows):
     assert dict(rows(roots))["a:y"] == "a:x" and ("a:x", "a:y", "manual_merge") in rows(decisions)
 
 
+def test_manual_groups(spark, rows):
+    frame = spark.createDataFrame([package("a:x", "x"), package("b:x", "x"), package("c:x", "x"), package("a:y", "y")], resolve.PACKAGE)
+    make = lambda *g: spark.createDataFrame(list(g), "ord int, packages array<string>, optional array<string>, id string, name string")
+    forced, members = resolve.manual_groups(make((0, ["a:x", "a:y"], ["q:absent", "c:x"], "mine", "Mine"), (1, ["b:x", "a:x"], None, None, None)), frame)
+    assert [tuple(r)[:2] for r in forced.orderBy("ord").collect()] == [("a:x", "a:y"), ("a:y", "c:x"), ("b:x", "a:x")] and forced.first()["evidence"][0]["weight"] == 1.0
+    assert {r["id"]: r["curated_id"] for r in members.collect()} == {"a:x": "mine", "a:y": "mine", "c:x": "mine", "b:x": None}
+    for bad, match in ((make((0, ["z:z", "a:x"], None, None, None)), "unknown packages: z:z"), (make((0, [], ["z:z"], None, None)), "needs a package")):
+        with pytest.raises(ValueError, match=match):
+            resolve.manual_groups(bad, frame)
+    matches = spark.createDataFrame([("a:x", "b:x", 0.95, 7), ("b:x", "c:x", 0.9, 7)], "left string, right string, confidence double, priority int")
+    roots, decisions = resolve.constrained_merge(frame, matches, protected=spark.createDataFrame([("a:x",)], "id string"))
+    assert dict(rows(roots)) == {"a:x": "a:x", "b:x": "b:x", "c:x": "b:x", "a:y": "a:y"} and ("a:x", "b:x", "none") in rows(decisions)
+
+
+def test_curated_ids(spark, rows):
+    groups = spark.createDataFrame([("r1", "Foo", ["a:1"]), ("r2", "foo", ["c:9"]), ("r3", "Bar", ["d:1"])], "root string, name string, members array<string>")
+    curated = lambda *c: spark.createDataFrame(list(c), "root string, curated_id string")
+    before = spark.createDataFrame([("kept", ["d:1"])], "entity_id string, members array<string>")
+    assert dict(rows(resolve.entity_ids(groups, before, curated(("r1", "foo"), ("r2", None)))))["r1"] == "foo"
+    assert dict(rows(resolve.entity_ids(groups, before, curated(("r1", "foo"))))) == {"r1": "foo", "r2": dict(rows(resolve.entity_ids(groups, before, curated(("r1", "foo")))))["r2"], "r3": "kept"}
+    assert dict(rows(resolve.entity_ids(groups, before, curated(("r3", "mine")))))["r3"] == "mine"
+    for bad in (curated(("r1", "kept")), curated(("r1", "x"), ("r2", "x"))):
+        with pytest.raises(ValueError, match="not unique"):
+            resolve.entity_ids(groups, before, bad)
+
+
 def test_entity_ids(spark, rows):
     groups = spark.createDataFrame([("r1", "Foo", ["a:1", "b:1"]), ("r2", "foo", ["c:9"]), ("r3", "Bar", ["d:1"])], "root string, name string, members array<string>")
     before = spark.createDataFrame([("kept", ["b:1", "a:1"]), ("lost", ["a:1"])], "entity_id string, members array<string>")
