@@ -101,8 +101,9 @@ def encode_segment(rows: list[tuple[str, dict[int, list[int]]]], chunks: int) ->
             groups[tuple(sorted(held))] = groups.get(tuple(sorted(held)), 0) | 1 << field
         out += write_varint(len(groups))
         for held, mask in sorted(groups.items()):
-            rest = tuple(c for c in range(chunks) if c not in set(held))
-            flip = len(rest) < len(held)
+            flip = chunks - len(held) < len(held)
+            inside = set(held)
+            rest = tuple(c for c in range(chunks) if c not in inside) if flip else ()
             listed = rest if flip else held
             out += write_varint(mask << 1 | flip) + write_varint(len(listed))
             last = 0
@@ -130,7 +131,8 @@ def decode_segment(data: str, chunks: int) -> list[tuple[str, dict[int, list[int
                 step, at = read_varint(raw, at)
                 last += step
                 listed.append(last)
-            held = [c for c in range(chunks) if c not in set(listed)] if head & 1 else listed
+            without = set(listed)
+            held = [c for c in range(chunks) if c not in without] if head & 1 else listed
             mask = head >> 1
             for f in range(mask.bit_length()):
                 if mask >> f & 1:

@@ -293,10 +293,13 @@ def kv_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = kvstore.with_bucket(table(spark, sf_dir, "part"), "p_name", BUCKETS)
+    """The record of one name, from a store written in buckets; only its bucket is read."""
+    parts = table(spark, sf_dir, "part")
     wanted = parts.agg(F.min("p_name")).first()[0] or ""
-    place = spark.range(1).select(ids.bucket(F.lit(wanted), BUCKETS)).first()[0]
-    return parts.where((F.col("bucket") == place) & (F.col("p_name") == wanted)).select("p_partkey", "p_brand")
+    path = f"{Scratch(spark, 'store').root}/part"
+    one = parts.where("p_name <> ''").groupBy("p_name").agg(F.collect_list(F.struct("p_partkey", "p_brand")).alias("rows"))
+    kvstore.write(one, "p_name", BUCKETS, path)
+    return kvstore.lookup(spark, path, "p_name", wanted, BUCKETS).select(F.explode("rows").alias("r")).select("r.p_partkey", "r.p_brand")
 
 
 # entity resolution

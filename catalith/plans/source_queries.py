@@ -48,7 +48,11 @@ def calendar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.read_calendars(documents).select("title", "start_date", "end_date", "description", "status")
 
 
-@query()
+@query(r"""
+WITH e AS (SELECT n_name AS nation, s_suppkey::VARCHAR AS uid, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || s_suppkey, 'DTSTART;VALUE=DATE:20260101', 'DTEND;VALUE=DATE:20260102', 'SUMMARY:' || s_name,
+  'DESCRIPTION:a\, b\; c\nd', 'LOCATION:', 'STATUS:CONFIRMED', 'END:VEVENT') AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT nation, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//catalith//EN', string_agg(l, chr(13) || chr(10) ORDER BY uid), 'END:VCALENDAR') || chr(13) || chr(10) AS document FROM e GROUP BY nation
+""")
 def calendar_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nation, document): one calendar document per nation that has suppliers, of its suppliers as events."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))

@@ -284,6 +284,17 @@ def checkout(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
+#: Characters that the files which all records of a registry need may have together.
+SHARED_CHARS = 64_000_000
+
+
+def _shared_texts(files: DataFrame) -> dict[str, str]:
+    """The few files that every record needs, on the driver; refused beyond SHARED_CHARS."""
+    if (files.agg(F.sum(F.length("text"))).first()[0] or 0) > SHARED_CHARS:
+        raise ValueError(f"shared files of more than {SHARED_CHARS} characters")
+    return {r["path"]: r["text"] for r in files.collect()}
+
+
 def parse(files: DataFrame, registry: str) -> DataFrame:
     """Records of a registry from its files (path, text)."""
     if registry not in REGISTRIES:
@@ -292,7 +303,7 @@ def parse(files: DataFrame, registry: str) -> DataFrame:
     groups = pattern.count("(") - pattern.count("(?:")
     key = F.coalesce(*[F.nullif(F.regexp_extract("path", pattern, i + 1), F.lit("")) for i in range(groups)])
     own = files.where(F.col("path").rlike(pattern)).withColumn("key", F.lit("all") if registry == "cppget" else key)
-    common = {r["path"]: r["text"] for r in files.where(F.col("path").isin(shared)).collect()} if shared else {}
+    common = _shared_texts(files.where(F.col("path").isin(shared))) if shared else {}
     needed = NEEDED.get(registry, "")
 
     columns = [c.strip().split(" ")[0] for c in re.split(r",\s(?=\w+ )", RECORD)]

@@ -34,19 +34,32 @@ def compact_changes(changes: DataFrame, keys: list[str], fields: list[str], revi
     return best.select(F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(n)["row"] for n in named])))).alias("r")).select("r.*")
 
 
+#: Parts of a stream's log by a hash of the key; a batch rewrites only those that it touches.
+BUCKETS = 64
+
+
 def apply_stream(spark: SparkSession, changes: DataFrame, target: str, checkpoint: str, keys: list[str], fields: list[str]) -> StreamingQuery:
-    """Keeps the compacted log of a change stream in two alternating tables under ``target``.
+    """Keeps the compacted log of a change stream in buckets under ``target``.
 
-    ``read_state`` gives the current records.  A batch writes the next table in
-    full before it becomes the current one, so a failed batch changes nothing.
+    ``read_state`` gives the current records.  A batch writes the buckets of its keys
+    in full, as one table that counts once it is complete, so a failed batch changes
+    nothing and a batch may be repeated; the others stay as they are.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = current_path(spark, target)
-        rows = batch if current is None else spark.read.parquet(current).select(*batch.columns).unionByName(batch)
-        compact_changes(rows, keys, fields).write.mode("overwrite").parquet(f"{target}/log-{batch_id:012d}")
-        if batch_id > 1:
-            _delete(spark, f"{target}/log-{batch_id - 2:012d}")
+        placed = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in placed.select("__bucket").distinct().collect()]  # at most BUCKETS
+        name = f"log-{batch_id:012d}"
+        before = {k: p for k, p in _newest(spark, target).items() if f"/{name}/" not in p}
+        held = [before[k] for k in touched if k in before]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*held)) if held else batch
+        compact = compact_changes(rows, keys, fields).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        compact.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{target}/{name}")
+        # what an earlier batch had replaced; a reader may still hold the parts that this one replaces
+        for path in _parts(spark, target):
+            if f"/{name}/" not in path and before.get(_bucket(path)) != path:
+                fs, jpath = _fs(spark, path)
+                fs.delete(jpath, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -56,25 +69,29 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, jpath = _fs(spark, path)
-    fs.delete(jpath, True)
+def _bucket(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
 
 
-def current_path(spark: SparkSession, target: str) -> str | None:
-    """The newest complete table of a stream's log."""
+def _parts(spark: SparkSession, target: str) -> list[str]:
+    """Folders of all buckets of all complete batches, in order of the batches."""
     fs, jpath = _fs(spark, target)
     if not fs.exists(jpath):
-        return None
-    names = sorted(s.getPath().toString() for s in fs.listStatus(jpath) if "/log-" in s.getPath().toString())
-    done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS"))]
-    return done[-1] if done else None
+        return []
+    logs = sorted(s.getPath().toString() for s in fs.listStatus(jpath) if "/log-" in s.getPath().toString())
+    done = [n for n in logs if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS"))]
+    return [s.getPath().toString() for n in done for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(n)) if "__bucket=" in s.getPath().toString()]
+
+
+def _newest(spark: SparkSession, target: str) -> dict[int, str]:
+    """The newest folder of each bucket."""
+    return {_bucket(p): p for p in _parts(spark, target)}
 
 
 def read_state(spark: SparkSession, target: str, keys: list[str], fields: list[str]) -> DataFrame | None:
     """Current records of a stream's log."""
-    path = current_path(spark, target)
-    return changefeed.apply_changes(spark.read.parquet(path), keys, fields) if path else None
+    paths = sorted(_newest(spark, target).values())
+    return changefeed.apply_changes(spark.read.parquet(*paths), keys, fields) if paths else None
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: int = 16) -> DataFrame:

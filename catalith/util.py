@@ -62,28 +62,35 @@ class Scratch:
 
     ``keep`` writes a frame as Parquet and returns the frame that reads it, so
     lineage ends there and a lost executor costs no recomputation.  ``drop``
-    deletes tables that later ones replace.
+    deletes tables that later ones replace; what is left when the program ends is
+    deleted then, as results read it until they are used.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        atexit.register(self.clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._catalith_path = path
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
-            path = getattr(df, "_catalith_path", None)
-            if path:
-                jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            if path := getattr(df, "_catalith_path", None):
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all tables; does nothing if the session has ended."""
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def clean_id(c: Column | str) -> Column:
