@@ -47,3 +47,11 @@ WITH keyed AS (
 )
 SELECT first_id, field_name, release_id FROM ranked WHERE r = 1
 """
+
+P1_RECORDS_SQL = f"""
+WITH f AS ({P1_FOUND_SQL}), v AS (
+  SELECT first_id, field_name, CASE field_name WHEN 'summary' THEN summary WHEN 'description' THEN description WHEN 'licenses' THEN array_to_string(list_filter(licenses, lambda x: x IS NOT NULL), '; ') ELSE homepage END AS value
+  FROM f JOIN package_versions USING (release_id))
+SELECT first_id, max(value) FILTER (field_name = 'summary') AS summary, max(value) FILTER (field_name = 'description') AS description,
+  max(value) FILTER (field_name = 'licenses') AS licenses, max(value) FILTER (field_name = 'homepage') AS homepage FROM v GROUP BY first_id
+"""

@@ -162,3 +162,18 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document or piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_tokens")
     return pack_documents(docs, table(spark, sf_dir, "containers"))
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_name, source, documents, tokens, overfull, mixed): what the containers of each source hold.
+
+    Every document and token must be there once, no container over its capacity, and
+    none with documents of two sources.
+    """
+    packed = p7_packed(spark, sf_dir)
+    capacity = table(spark, sf_dir, "containers").where("container_name IS NOT NULL").select("container_name", F.col("capacity").cast("long").alias("capacity"))
+    each = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("used"), F.min("source").alias("source"), F.count_distinct("source").alias("sources"))
+    each = each.join(broadcast_if_small(capacity), "container_name").groupBy("container_name", "source").agg(F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("overfull"), F.sum((F.col("sources") > 1).cast("long")).alias("mixed"))
+    held = packed.groupBy("container_name", F.col("source").alias("__s")).agg(F.count_distinct("doc_id").alias("documents"), F.sum("n_tokens").alias("tokens"))
+    both = held.join(each.withColumnRenamed("container_name", "__c"), (F.col("container_name") == F.col("__c")) & F.col("__s").eqNullSafe(F.col("source")))
+    return both.select("container_name", "source", "documents", "tokens", "overfull", "mixed")

@@ -79,7 +79,7 @@ def shortened(values: DataFrame, group: list[str], text: str, out: str = "shorte
     scratch = Scratch(spark, "shortened")
     plain = F.lower(_squeezed(F.col(text)))
     bare = F.regexp_replace(plain, _MARK, "")
-    keyed = values.withColumns({"__bare": bare, "__full": plain})
+    keyed = values.withColumn("__bare", bare)
     distinct = keyed.select(*group, "__bare").distinct()
     ranged = scratch.keep(distinct.repartitionByRange(*[F.col(g) for g in group], F.col("__bare")).sortWithinPartitions(*group, "__bare").withColumn("__part", F.spark_partition_id()), "ranged")
     order = [F.col(g) for g in group] + [F.col("__bare")]
@@ -95,7 +95,7 @@ def shortened(values: DataFrame, group: list[str], text: str, out: str = "shorte
         is_prefix = is_prefix & cond
     cut = following_row.where(is_prefix & (F.length("__bare") > 0)).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__bare").alias("__cut"))
     joined = keyed.join(cut, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group] + [F.col("__bare") == F.col("__cut")], "left")
-    return joined.withColumn(out, F.col("__cut").isNotNull()).drop("__bare", "__full", "__cut", *[f"__{g}" for g in group])
+    return joined.withColumn(out, F.col("__cut").isNotNull()).drop("__bare", "__cut", *[f"__{g}" for g in group])
 
 
 def survivors(rows: DataFrame, group: list[Column], row_id: str, fields: dict[str, str], trust: Column, time: str, required: int = 2) -> DataFrame:
@@ -118,6 +118,7 @@ def survivors(rows: DataFrame, group: list[Column], row_id: str, fields: dict[st
     ])
     rank = F.struct(trust.alias("trust"), F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-(2**62)).cast("long")).alias("at"), F.col(row_id).alias("id"))
     members = keyed.select("__g", rank.alias("__rank"), F.explode(F.filter(values, lambda v: v["usable"])).alias("__v"))
+    # a hot group's members are split by adaptive execution: the other side has one row a group
     members = members.join(groups, "__g").select("first_id", F.col("__v.field_name").alias("field_name"), F.col("__v.text").alias("text"), "__rank")
     best = members.groupBy("first_id", "field_name", "text").agg(F.max("__rank").alias("__rank"))
     best = Scratch(rows.sparkSession, "survivors").keep(best, "best")

@@ -95,7 +95,6 @@ def closings(docs: DataFrame, text: str) -> DataFrame:
     """Masked short lines that end texts and that most lines beginning alike equal."""
     lines = docs.where(F.col(text).isNotNull()).select(F.explode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("line"))
     lines = lines.where(~F.col("line").rlike(r"^\s*\p{Ll}|[.!?] "))  # no running prose
-    short = F.length("line") <= 80
     masked = lines.select(_masked(F.col("line")).alias("m"), (F.length("line") <= 80).alias("short"))
     heads = masked.select("m", "short", F.explode(F.array_distinct(F.array(*[F.substring_index("m", " ", k) for k in range(1, HEAD_WORDS + 1)]))).alias("head"))
     heads = heads.groupBy(F.when(F.col("short"), F.col("m")).alias("m"), "head").agg(F.count("*").alias("lines"))
