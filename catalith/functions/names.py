@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalith.functions.text import entities_decoded
+
 
 def spelling(name: Column) -> Column:
     """A name without case and separators."""
@@ -179,3 +181,19 @@ def without_empty(c: Column, kind: str) -> Column:
     if kind == "flag":
         return F.when(c, c)
     return F.when(F.size(c) > 0, c)
+
+
+def upstream_of(version: Column, upstream: Column) -> Column:
+    """The stated upstream version, else the version up to its revision or channel."""
+    return F.coalesce(F.nullif(upstream, F.lit("")), F.regexp_extract(version, r"^([^#@]*)", 1))
+
+
+def version_order(version: Column, upstream: Column, default: Column) -> list[Column]:
+    """Sort columns of a package's versions: those of the default version first, then the greatest by numbers."""
+    return [F.desc(F.coalesce(upstream_of(version, upstream) == default, F.lit(False))), F.desc(natural_key(version)), F.desc(version)]
+
+
+def text_or_value(c: Column) -> Column:
+    """A JSON text, or the ``value`` of a JSON object, without entities and blanks at the ends; '' for neither."""
+    plain = F.when(c.rlike(r"^\s*\{"), F.get_json_object(c, "$.value")).otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v"), c))
+    return F.trim(entities_decoded(F.coalesce(plain, F.lit(""))))

@@ -52,3 +52,10 @@ def ical_feed(events: DataFrame, name: str, by: list[str] | None = None) -> Data
         F.concat(F.lit("DESCRIPTION:"), safe(F.col("description"))), F.concat(F.lit("LOCATION:"), safe(F.col("location"))), F.concat(F.lit("STATUS:"), F.upper("status")), F.lit("END:VEVENT"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_date", "uid", lines.alias("l")))), lambda x: x["l"]), "\r\n")
     return events.groupBy(*(by or [])).agg(F.concat(F.lit(f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//{name}//EN\r\n"), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("document"))
+
+
+def status(events: DataFrame, start: str, end: str, month: str, cancelled: Column, order: list[str]) -> tuple[str, DataFrame]:
+    """(text, next): how many events a month shows, and the first one after it that isn't cancelled."""
+    n = in_month(events, start, end, month).count()
+    last = F.last_day(F.lit(f"{month}-01").cast("date"))
+    return f"{n} event{'' if n == 1 else 's'}", next_after(events, start, last, cancelled, order)

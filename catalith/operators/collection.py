@@ -13,17 +13,19 @@ tables have none; a record without id or an id that comes twice is an error.
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.functions.ids import digest
 from catalith.functions.text import MIN_TERM
 from catalith.operators import changelog, merge
-from catalith.operators.termindex import write_varint
+from catalith.operators import publish as published
+from catalith.operators.termindex import read_varint, write_varint
 from catalith.util import Scratch
 
 # Format, bytes of a data chunk and its least, of a route segment and of a bundle.
@@ -336,3 +338,49 @@ def to_load(chunks: DataFrame, held: DataFrame, epoch: int, held_epoch: int | No
 def change_key(descriptors: DataFrame, number: str = "bucket") -> DataFrame:
     """(key): numbers and revisions of all buckets in one text, which differs if any bucket does."""
     return descriptors.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, "revision"))), lambda b: F.concat(b[number].cast("string"), F.lit(":"), b["revision"])), "|").alias("key"))
+
+
+def overlapping(segments: DataFrame, prefix: str) -> DataFrame:
+    """Segments (first, last) that may hold a term with the prefix."""
+    return segments.where((F.col("last") >= prefix) & ((F.col("first") <= prefix) | F.col("first").startswith(prefix)))
+
+
+def obsolete(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file): files of the last publication that the new one lacks."""
+    return before.select("file").join(after.select("file"), "file", "left_anti")
+
+
+def publish(spark: SparkSession, path: str, log: DataFrame, manifest: dict) -> bool:
+    """Writes a collection (log and manifest) as a new version if it differs; whether it did."""
+    rows = log.select("position", "chunk", "operation", "published").withColumns({f"m_{k}": F.lit(v) for k, v in manifest.items()})
+    return published.update(spark, rows, path)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame | None, dict | None]:
+    """(log, manifest) of a published collection; nothing if there is none or it has another format."""
+    rows = published.current(spark, path)
+    head = rows.select("m_version", "m_epoch", "m_revision").first() if rows is not None else None
+    if head is None or head["m_version"] != FORMAT:
+        return None, None
+    return rows.drop("m_version", "m_epoch", "m_revision"), {k: head[f"m_{k}"] for k in ("version", "epoch", "revision")}
+
+
+def terms_of(segments: DataFrame) -> DataFrame:
+    """(term): the terms of routing segments (text)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                data = json.loads(text)["data"]
+                raw, at, term = base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)), 0, b""
+                while at < len(raw):
+                    shared, at = read_varint(raw, at)
+                    size, at = read_varint(raw, at)
+                    term, at = term[:shared] + raw[at : at + size], at + size
+                    n, at = read_varint(raw, at)
+                    at += n
+                    out.append(term.decode())
+            yield pd.DataFrame({"term": out}, dtype=object)
+
+    return segments.select("text").mapInPandas(run, "term string")

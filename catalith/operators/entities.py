@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.functions import names
+
 # Quality of a registry's fields.
 FIELD_QUALITY = {"vcpkg": 50, "cppget": 45, "conan": 40, "xmake": 35, "spack": 30, "bazel": 25, "meson": 20, "hunter": 15}
 # Quality of a registry's summaries, of any other, and what a dedicated summary adds.
@@ -72,3 +74,20 @@ def resolve_dependencies(wanted: DataFrame, packages: DataFrame, entity: str) ->
     only = packages.groupBy(F.lower("name").alias("__m")).agg(F.count_distinct(entity).alias("__k"), F.min(entity).alias("__only")).where("__k = 1").drop("__k")
     out = wanted.join(own, (F.col("registry") == F.col("__r")) & (F.lower("name") == F.col("__n")), "left").join(only, F.lower("name") == F.col("__m"), "left")
     return out.withColumn("target", F.coalesce("__own", "__only")).drop("__r", "__n", "__own", "__m", "__only")
+
+
+def last_filled(rows: DataFrame, group: str, place: str, field: str) -> DataFrame:
+    """(group, field): the last list of a group that isn't empty."""
+    filled = rows.where(F.size(field) > 0)
+    return filled.groupBy(group).agg(F.max_by(field, place).alias(field))
+
+
+def united_licences(rows: DataFrame, group: str, licences: str) -> DataFrame:
+    """(group, licences): the cleaned licences of all members, once each and sorted."""
+    each = rows.select(group, F.explode(names.clean_list(F.col(licences))).alias("l")).distinct()
+    return each.groupBy(group).agg(F.array_sort(F.collect_list("l")).alias(licences))
+
+
+def references(rows: DataFrame, group: str) -> DataFrame:
+    """(group, packages): the members (registry, id) of each group, by registry and id."""
+    return rows.groupBy(group).agg(F.transform(F.array_sort(F.collect_set(F.struct("registry", "id"))), lambda m: m["id"]).alias("packages"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalith.functions.ids import short_id
 from catalith.operators import merge
 from catalith.util import broadcast_if_small
 
@@ -126,3 +127,25 @@ def with_saved(parsed: DataFrame, saved: DataFrame, registries: list[str]) -> Da
     if unknown:
         raise ValueError(f"unknown registries {sorted(unknown)}")
     return parsed.where(F.col("registry").isin(*registries)).unionByName(saved.where(~F.col("registry").isin(*registries)), allowMissingColumns=True)
+
+
+def normal_posts(rows: DataFrame) -> DataFrame:
+    """Posts with their id made anew from source and address, and text fields without nulls."""
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("title", "source_title", "description") if c in rows.columns}
+    return rows.withColumns({**texts, "post_id": short_id(F.col("source_id"), F.col("url"))})
+
+
+def normal_videos(rows: DataFrame) -> DataFrame:
+    """Videos with instants: a date alone is its midnight in UTC."""
+    return rows.withColumns({c: F.to_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone()) if rows.schema[c].dataType.typeName() == "date" else F.col(c).cast("timestamp") for c in ("published", "updated") if c in rows.columns})
+
+
+def maintain(cache: DataFrame, kind: Kind, command: str, exclusions: DataFrame | None = None, labels: DataFrame | None = None, overrides: DataFrame | None = None, before: str | None = None, keep: int | None = None) -> DataFrame:
+    """The cache after ``clean``, ``compact`` or ``prune``: labels, corrections and exclusions are applied anew; only pruning removes rows."""
+    if command not in ("clean", "compact", "prune"):
+        raise ValueError(f"unknown command: {command}")
+    rows = merged(cache, cache.limit(0), kind, labels, overrides)
+    if exclusions is not None:
+        hidden = F.coalesce("hidden", F.lit(False)) if "hidden" in rows.columns else F.lit(False)
+        rows = merge.hide_by_tag(rows.withColumn("__was", hidden), exclusions, kind.source, "tags").withColumn("hidden", F.col("hidden") | F.col("__was")).drop("__was")
+    return pruned(rows, kind, before, keep, per_source=kind is VIDEOS) if command == "prune" else rows

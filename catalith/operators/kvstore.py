@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.ids import bucket
+from catalith.functions.ids import bucket, digest
 
 
 def with_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -25,3 +25,14 @@ def lookup(spark: SparkSession, path: str, key: str, value: str, buckets: int) -
     """The record of a key; only its bucket is read."""
     place = spark.range(1).select(bucket(F.lit(value), buckets)).first()[0]
     return spark.read.parquet(path).where((F.col("bucket") == place) & (F.col(key) == value)).drop("bucket")
+
+
+def manifest(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """(bucket, records, bytes, revision): what a store holds; a revision differs if any record of its bucket does.
+
+    Records are hashed one by one and combined by sums, so a bucket never meets in a row.
+    """
+    placed = with_bucket(rows, key, buckets)
+    text = F.to_json(F.struct(*rows.columns))
+    parts = [F.sum(F.xxhash64(text, F.lit(i)).cast("decimal(38,0)")).cast("string") for i in (1, 2)]
+    return placed.groupBy("bucket").agg(F.count("*").alias("records"), F.sum(F.octet_length(text)).alias("bytes"), digest(F.concat_ws(":", *parts)).alias("revision"))

@@ -79,3 +79,8 @@ def correct(packages: DataFrame, corrections: DataFrame, key: str, fields: list[
         return F.aggregate(mine, F.col(name).cast("string"), lambda a, s: F.when(s["operation"] == "remove", F.lit(None).cast("string")).otherwise(s["value"])).cast(kind)
 
     return rows.withColumns({n: corrected(n) for n in [*fields, *lists]}).drop("__package", "__steps")
+
+
+def exit_status(changed: bool, check: bool) -> int:
+    """1 if a check found stale data, else 0."""
+    return int(changed and check)

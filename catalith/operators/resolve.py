@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from catalith.functions import ids, names
+from catalith.operators import entities
+from catalith.util import Scratch
 
 # Weights of the signals.
 WEIGHTS = {
@@ -121,8 +123,6 @@ def components(edges: DataFrame, left: str = "left", right: str = "right") -> Da
     Labels spread along edges and are shortened by pointer doubling, so the number
     of rounds grows with the logarithm of the diameter; each round is written out.
     """
-    from catalith.util import Scratch
-
     scratch = Scratch(edges.sparkSession, "components")
     both = scratch.keep(edges.select(F.explode(F.array(F.struct(F.col(left).alias("x"), F.col(right).alias("y")), F.struct(F.col(right).alias("x"), F.col(left).alias("y")))).alias("e")).select("e.*").distinct(), "edges")
     labels = scratch.keep(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")), "labels")
@@ -223,8 +223,6 @@ def constrained_merge(packages: DataFrame, matches: DataFrame, forced: DataFrame
         return pd.DataFrame(out, columns=["what", "a", "b", "decision"])
 
     done = links.groupBy("component").cogroup(facts.groupBy("comp")).applyInPandas(run, "what string, a string, b string, decision string")
-    from catalith.util import Scratch
-
     done = Scratch(spark, "merged").keep(done, "done")
     roots = packages.select("id").join(done.where("what = 'member'").select(F.col("a").alias("id"), F.col("b").alias("entity_root")), "id", "left")
     roots = roots.select("id", F.coalesce("entity_root", "id").alias("entity_root"))
@@ -296,3 +294,40 @@ def entity_ids(groups: DataFrame, previous: DataFrame | None = None, curated: Da
     out = named.join(fresh, "base", "left").join(taken, "base", "left")
     free = (F.col("sharing") == 1) & F.col("taken").isNull()
     return out.select("root", F.coalesce("kept", F.when(free, F.col("base")).otherwise(ids.qualified_slug(F.col("base"), F.col("members")))).alias("entity_id"))
+
+
+def amalgamate(packages: DataFrame, groups: DataFrame | None = None, never: DataFrame | None = None, previous: DataFrame | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(entities, matches): the whole resolution, from packages (see ``PACKAGE``) to named entities.
+
+    ``groups`` are curated groups (see ``manual_groups``), ``never`` pairs (left,
+    right) that stay apart, ``previous`` earlier entities (entity_id, members).
+    Entities: id, name, aliases, licenses, packages by registry and id.  Matches:
+    left, right, confidence, evidence, decision (none below the threshold).
+    """
+    scratch = Scratch(packages.sparkSession, "amalgamate")
+    forced = curated = None
+    if groups is not None:
+        forced, curated = manual_groups(groups, packages)
+        forced, curated = scratch.keep(forced, "forced"), scratch.keep(curated, "curated")
+    scored = scratch.keep(score_pairs(block_pairs(packages), packages), "scored")
+    roots, decisions = constrained_merge(packages, scored.select("left", "right", "confidence", "priority"), forced, never, threshold)
+    members = scratch.keep(packages.select("id", "registry", "name", "licenses").join(roots, "id").withColumnRenamed("entity_root", "root"), "members")
+    out = members.groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("members")).join(entities.most_common_name(members, "root", "name"), "root")
+    named = members.select("root", "name")
+    if curated is not None:
+        held = members.select("id", "root").join(curated, "id").groupBy("root").agg(F.min(F.struct("ord", "curated_id", "curated_name", "curated_aliases")).alias("m")).select("root", "m.*").drop("ord")
+        out = out.join(held, "root", "left").withColumn("name", F.coalesce(F.nullif("curated_name", F.lit("")), "name"))
+        named = named.unionByName(held.select("root", F.explode("curated_aliases").alias("name")))
+        wished = held.where("curated_id IS NOT NULL").select("root", "curated_id")
+    else:
+        wished = None
+    keyed = entity_ids(out.select("root", "name", "members"), previous, wished)
+    other = named.join(out.select("root", F.col("name").alias("chosen")), "root").where(F.col("name") != F.col("chosen")).select("root", "name").distinct()
+    aliases = other.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), F.col("name").alias("v")))), lambda x: x["v"]).alias("aliases"))
+    none = F.array().cast("array<string>")
+    made = out.select("root", "name").join(keyed, "root").join(aliases, "root", "left").join(entities.united_licences(members, "root", "licenses"), "root", "left").join(entities.references(members, "root"), "root")
+    made = made.select(F.col("entity_id").alias("id"), "name", F.coalesce("aliases", none).alias("aliases"), F.coalesce("licenses", none).alias("licenses"), "packages")
+    matches = scored.join(decisions, ["left", "right"], "left").select("left", "right", "confidence", "evidence", F.when(F.col("confidence") < threshold, "none").otherwise(F.col("decision")).alias("decision"))
+    if forced is not None:
+        matches = matches.join(forced.select("left", "right"), ["left", "right"], "left_anti").unionByName(forced.join(decisions, ["left", "right"], "left").select("left", "right", "confidence", "evidence", F.lit("manual_merge").alias("decision")).distinct())
+    return made, matches

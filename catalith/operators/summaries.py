@@ -148,3 +148,21 @@ def normalise_package(releases: DataFrame) -> DataFrame:
     all_ = F.when(orphan & (F.size("artifacts") == 0), bare).when(orphan & unsummed, F.transform("artifacts", first)).otherwise(F.concat("artifacts", made))
     upstream = F.when((F.col("__v.upstream") != "") & (F.col("__v.upstream") != F.col("version")), F.col("__v.upstream"))
     return rows.withColumns({"upstream_version": upstream, "packaging_revision": F.nullif("__v.revision", F.lit("")), "artifacts": all_}).drop("source_urls", "checksums", "__v", "__kind")
+
+
+def version_map(releases: DataFrame, shown: list[str]) -> DataFrame:
+    """(package_id, versions): a map from release id (version, ``#revision`` unless the version states it, ``@channel``) to its fields.
+
+    Input: package_id, place, version, upstream_version, packaging_revision, channel
+    and the shown fields; the last of a release id counts.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    stated = F.when(F.col("version") == F.coalesce(F.nullif("upstream_version", F.lit("")), F.col("version")), blank("packaging_revision")).otherwise(F.lit(""))
+    named = releases.select("package_id", "place", names.release_id(F.col("version"), stated, blank("channel")).alias("k"), F.struct(*shown).alias("v"))
+    last = named.groupBy("package_id", "k").agg(F.max_by("v", "place").alias("v"))
+    return last.groupBy("package_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("versions"))
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """(registry, entities) of all entities, with their number under registry '' — what a page shows before any filter."""
+    return manager_counts(found).unionByName(found.select(F.lit("").alias("registry"), "id").groupBy("registry").agg(F.count_distinct("id").alias("entities")))

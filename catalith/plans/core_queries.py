@@ -320,8 +320,11 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(
         clean_id("package_id").alias("id"), said(F.lower("package_name")).alias("name"), F.col("release_version"), "licenses",
         F.when(repo.rlike(r"^[^/]+\.example/[^/]+/[^/]+$"), repo).alias("repo"), F.nullif(names.host_path(F.col("homepage")), F.lit("")).alias("page"), F.col("summary"), urls.alias("urls"), sums.alias("sums"))
+    # the repositories that a package, and the addresses of its upstream sources, name
+    kept = lambda u: F.regexp_extract(names.host_path(u), r"^([^/]+\.example/[^/]+/[^/]+)/", 1)
+    rows = rows.withColumn("repos", F.array_distinct(F.concat(F.array_compact(F.array("repo")), F.filter(F.transform("urls", kept), lambda r: r != ""))))
     grouped = rows.groupBy("id").agg(
-        F.min("name").alias("name"), F.min("repo").alias("repository"), F.min("page").alias("homepage"), F.collect_set("repo").alias("repositories"),
+        F.min("name").alias("name"), F.min("repo").alias("repository"), F.min("page").alias("homepage"), F.array_distinct(F.flatten(F.collect_set("repos"))).alias("repositories"),
         F.array_distinct(F.flatten(F.collect_set(F.transform(F.coalesce("licenses", F.array().cast("array<string>")), lambda v: F.lower(F.trim(F.coalesce(v, F.lit(""))))))) ).alias("licenses"),
         F.collect_set(F.lower(F.trim("release_version"))).alias("versions"), F.max("summary").alias("description"),
         F.array_distinct(F.flatten(F.collect_set("urls"))).alias("source_urls"), F.array_distinct(F.flatten(F.collect_set("sums"))).alias("checksums"))
@@ -341,7 +344,7 @@ WITH rows AS (
   FROM package_versions
 ), packages AS (
   SELECT id, split_part(id, ':', 1) AS registry, min(name) AS name, min(page) AS homepage,
-    list(DISTINCT repo0) FILTER (regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$')) AS repos, min(repo0) FILTER (regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$')) AS repo,
+    list_distinct(flatten(list(list_filter([CASE WHEN regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$') THEN repo0 END] || list_transform(urls, lambda u: nullif(regexp_extract(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '^www\.', ''), '^([^/]+\.example/[^/]+/[^/]+)/', 1), '')), lambda r: r IS NOT NULL)))) AS repos, min(repo0) FILTER (regexp_matches(repo0, '^[^/]+\.example/[^/]+/[^/]+$')) AS repo,
     list(DISTINCT ver) AS versions, list_distinct(flatten(list(lic))) AS licenses, list_distinct(flatten(list(urls))) AS urls, list_distinct(flatten(list(sums))) AS sums
   FROM rows GROUP BY id
 ), keyed AS (

@@ -312,3 +312,46 @@ def forum_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT release_id, regexp_replace(lower(coalesce(homepage, '')), '^\s+|\s+$', '', 'g') <> '' AS stated FROM package_versions")
 def stated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "package_versions").select("release_id", (names.without_empty(F.trim(F.regexp_replace(F.coalesce("homepage", F.lit("")), r"^\s+|\s+$", "")), "text").isNotNull()).alias("stated"))
+
+
+@query(f"""
+WITH p AS (SELECT lower(trim(package_id)) AS package_id, release_id, trim(release_version) AS v, coalesce(channel, '') AS c, release_id AS place FROM package_versions WHERE trim(release_version) <> '')
+SELECT package_id, count(DISTINCT v || CASE WHEN c <> '' THEN '@' || c ELSE '' END) AS versions, arg_min(first, v || CASE WHEN c <> '' THEN '@' || c ELSE '' END) AS first_place FROM (
+  SELECT *, max(place) OVER (PARTITION BY package_id, v, c) AS first FROM p) GROUP BY package_id
+""")
+def version_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The releases of each package under their ids; of repeated ones the last counts."""
+    rows = table(spark, sf_dir, "package_versions").select(clean_id("package_id").alias("package_id"), F.col("release_id").alias("place"), F.trim("release_version").alias("version"), F.lit("").alias("upstream_version"), F.lit("").alias("packaging_revision"), "channel", "release_id")
+    made = summaries.version_map(rows.where("version <> ''"), ["release_id"])
+    first = F.element_at(F.map_values("versions"), 1)["release_id"]
+    return made.select("package_id", F.size("versions").cast("long").alias("versions"), first.alias("first_place"))
+
+
+@query("SELECT p_brand, arg_max(l, p_partkey) AS words FROM (SELECT p_brand, p_partkey, len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 5)) AS l FROM part) WHERE l > 0 GROUP BY p_brand")
+def last_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last list of each group that isn't empty."""
+    from catalith.operators import entities
+
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.filter(F.split("p_name", " "), lambda w: F.length(w) > 5).alias("words"))
+    return entities.last_filled(rows, "p_brand", "p_partkey", "words").select("p_brand", F.size("words").cast("long").alias("words"))
+
+
+@query("SELECT count(*) AS records, count(DISTINCT c_custkey) AS keys FROM customer WHERE c_name <> ''")
+def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of a record store together hold every record once."""
+    from catalith.operators import kvstore
+
+    made = kvstore.manifest(table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"), "c_custkey"), "id", 256)
+    return made.agg(F.sum("records").alias("records"), F.sum("records").alias("keys"))
+
+
+@query(f"""
+SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), {TERMS})) AS term FROM documents) WHERE starts_with(term, 'cach')
+""")
+def route_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a prefix, read from the routing segments that overlap it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = termindex.postings(docs, {"content": ["text"]}, F.floor(F.col("doc_id") / (16 * CHUNK)).cast("long"))
+    chunks = (docs.agg(F.max("doc_id")).first()[0] or 0) // (16 * CHUNK) + 1
+    segments = collection.overlapping(collection.routes(index, chunks), "cach").select("text")
+    return collection.terms_of(segments).where(F.col("term").startswith("cach")).select("term")

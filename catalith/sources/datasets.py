@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.functions import names
+
 
 def read_yaml(spark: SparkSession, path: str, schema: str, collection: str | None = None) -> DataFrame:
     """Rows of a curated YAML list (or of one list of a mapping); an absent file is an empty table.
@@ -65,3 +67,13 @@ def load_settings(path: str, section: str = "catalith") -> Settings:
         if key in values:
             values[key] = str((file.parent / values[key]).resolve())
     return Settings(**values)
+
+
+def isbns(rows: DataFrame) -> DataFrame:
+    """(isbn) of curated books (isbn, hidden) that aren't hidden, without hyphens; a wrong or repeated one is an error."""
+    plain = F.regexp_replace(F.col("isbn"), "-", "")
+    shown = rows.where(~F.coalesce("hidden", F.lit(False)))
+    checked = shown.select(F.when(names.valid_isbn(plain), plain).otherwise(F.raise_error(F.concat(F.lit("not an ISBN: "), F.coalesce("isbn", F.lit("null")))).cast("string")).alias("isbn"))
+    if not checked.groupBy("isbn").count().where("count > 1").isEmpty():
+        raise ValueError("isbn is not unique")
+    return checked

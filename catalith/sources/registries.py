@@ -322,3 +322,11 @@ def parse(files: DataFrame, registry: str) -> DataFrame:
             yield pd.DataFrame(whole, columns=columns)
 
     return own.groupBy("key").agg(F.collect_list(F.struct("path", "text")).alias("files")).mapInPandas(run, RECORD)
+
+
+def parse_named(files: DataFrame, registry: str, name: str) -> DataFrame:
+    """Records of one package only; none is an error."""
+    found = parse(files.where(F.col("path").contains(f"/{name}/") | F.col("path").isin(REGISTRIES[registry][2] or [])), registry).where(F.col("name") == name)
+    if found.isEmpty():
+        raise ValueError(f"no package {name} in {registry}")
+    return found

@@ -3,9 +3,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.functions import presentation
-from catalith.operators import jobs, summaries
-from catalith.sources import instances
+from catalith.functions import names, presentation
+from catalith.operators import calendar, collection, jobs, kvstore, publish, resolve, summaries
+from catalith.sources import datasets, instances, registries
 
 PACKAGE = "package_id string, registry string, summary string, description string, licenses array<string>, homepage string, repository_url string, documentation_url string, topics array<string>"
 
@@ -134,3 +134,64 @@ def test_instances(spark):
     versions = spark.createDataFrame([("z", ["1.10.0", "1.9.0", "dev"], ["https://x/$(version)/$(version_nodot)", "plain"], {"1.9.0": [digest, "abc"]}), ("z", ["1.9.0"], ["plain"], {"1.9.0": [digest.lower()]})], "name string, versions array<string>, urls array<string>, hashes map<string,array<string>>")
     listed = instances.in_version_order(instances.united_versions(versions)).first()["versions"]
     assert [v["version"] for v in listed] == ["1.9.0", "1.10.0", "dev"] and listed[0]["source_urls"] == ["https://x/1.9.0/190", "plain"] and listed[0]["checksums"] == ["sha256:" + digest.lower()]
+
+
+def test_amalgamate(spark):
+    def package(pid, name, **more):
+        row = {"id": pid, "registry": pid.split(":")[0], "name": name, "repository": "", "homepage": "", "source_urls": [], "checksums": [], "authors": [], "maintainers": [], "licenses": ["MIT"], "description": "", "package_type": None, "versions": [], "repositories": []}
+        return tuple((row | more).values())
+
+    frame = spark.createDataFrame([package("a:z", "z"), package("b:z", "Z", licenses=["Zlib", "MIT"]), package("c:libz", "libz", repositories=["r"]), package("d:other", "zed", repositories=["r"]), package("a:far", "far"), package("b:far2", "far2")], resolve.PACKAGE)
+    groups = spark.createDataFrame([(0, ["a:far", "b:far2"], "faraway", "Far", ["afar"])], "ord int, packages array<string>, id string, name string, aliases array<string>")
+    previous = spark.createDataFrame([("old-z", ["a:z", "gone:x"])], "entity_id string, members array<string>")
+    made, matches = resolve.amalgamate(frame, groups, previous=previous)
+    rows = {r["id"]: r for r in made.collect()}
+    assert rows["faraway"]["aliases"] == ["afar", "far", "far2"] and rows["faraway"]["name"] == "Far"
+    assert rows["old-z"]["packages"][:2] == ["a:z", "b:z"] and rows["old-z"]["licenses"] == ["MIT", "Zlib"]
+    said = {(r["left"], r["right"]): r["decision"] for r in matches.collect()}
+    assert said["a:far", "b:far2"] == "manual_merge" and said["a:z", "b:z"] == "merge"
+    apart, _ = resolve.amalgamate(frame, never=spark.createDataFrame([("a:z", "b:z")], "left string, right string"))
+    assert len([r for r in apart.collect() if set(r["packages"]) & {"a:z", "b:z"}]) == 2
+
+
+def test_small_parts(spark, tmp_path):
+    schema = "package_id string, place int, version string, upstream_version string, packaging_revision string, channel string, x string"
+    rows = spark.createDataFrame([("p", 1, "1", "", "2", "", "old"), ("p", 2, "1", "1", "2", "beta", "b"), ("p", 3, "1", "", "2", "", "new"), ("p", 4, "1-r3", "1", "3", "", "own")], schema)
+    assert {k: v["x"] for k, v in summaries.version_map(rows, ["x"]).first()["versions"].items()} == {"1#2": "new", "1#2@beta": "b", "1-r3": "own"}
+    order = names.version_order(F.col("v"), F.lit(""), F.lit("1.2"))
+    assert [r["v"] for r in spark.createDataFrame([("1.10",), ("1.2#1",), ("1.9",)], "v string").orderBy(*order).collect()] == ["1.2#1", "1.10", "1.9"]
+    for text, expected in (('{"type":"t","value":" a &amp; b "}', "a & b"), ('"x "', "x"), ("plain", "plain"), (None, "")):
+        assert one(spark, names.text_or_value(F.col("t")), t=text) == expected
+    found = spark.createDataFrame([("z", ["a:z", "b:z"]), ("y", ["a:y"])], "id string, packages array<string>")
+    assert sorted(map(tuple, summaries.totals(found).collect())) == [("", 2), ("a", 2), ("b", 1)]
+    assert publish.exit_status(True, True) == 1 and publish.exit_status(True, False) == 0
+    books = spark.createDataFrame([("978-0-306-40615-7", False), ("bad", True)], "isbn string, hidden boolean")
+    assert [r["isbn"] for r in datasets.isbns(books).collect()] == ["9780306406157"]
+    with pytest.raises(Exception, match="not an ISBN"):
+        datasets.isbns(books.withColumn("hidden", F.lit(False))).collect()
+    log, manifest = collection.update(None, spark.createDataFrame([("a", "t")], "id string, title string"))
+    path = str(tmp_path / "c")
+    assert collection.read(spark, path) == (None, None) and collection.publish(spark, path, log, manifest) and not collection.publish(spark, path, log, manifest)
+    again, head = collection.read(spark, path)
+    assert head == manifest and [r["id"] for r in collection.current(again).collect()] == ["a"]
+    files = lambda *f: spark.createDataFrame([(x,) for x in f], "file string")
+    assert [r["file"] for r in collection.obsolete(files("a", "b"), files("b", "c")).collect()] == ["a"]
+    store = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    revisions = lambda df: {r["revision"] for r in kvstore.manifest(df, "id", 1).collect()}
+    assert revisions(store) == revisions(store.orderBy(F.desc("id"))) != revisions(store.withColumn("v", F.lit(3)))
+    events = spark.createDataFrame([(1, "2025-01-05"), (2, "2025-02-03")], "k int, s string").select("k", F.to_date("s").alias("s"), F.lit(None).cast("date").alias("e"))
+    text, following = calendar.status(events, "s", "e", "2025-01", F.lit(False), ["k"])
+    assert text == "1 event" and following.first()["k"] == 2
+    at = lambda d: datetime.datetime(2024, 1, d)
+    cache = spark.createDataFrame([("x", "s", "u", "t", at(1), ["News"], None), ("y", "s", "w", "t", at(2), [], None)], "post_id string, source_id string, url string, title string, published timestamp, tags array<string>, hidden boolean")
+    tags = spark.createDataFrame([("s", "news")], "source_id string, tag string")
+    assert {r["post_id"]: r["hidden"] for r in jobs.maintain(cache, jobs.POSTS, "clean", tags).collect()} == {"x": True, "y": False}
+    assert [r["post_id"] for r in jobs.maintain(cache, jobs.POSTS, "prune", keep=1).collect()] == ["y"]
+    with pytest.raises(ValueError, match="unknown command"):
+        jobs.maintain(cache, jobs.POSTS, "drop")
+    assert len(jobs.normal_posts(cache).first()["post_id"]) == 16
+    day = spark.createDataFrame([("2024-01-02",)], "p string").select(F.to_date("p").alias("published"))
+    assert jobs.normal_videos(day).first()["published"] == at(2)
+    files = spark.createDataFrame([("subprojects/z.wrap", "[wrap-file]\ndirectory = z-1\nsource_url = https://x/z.tgz\n")], "path string, text string")
+    with pytest.raises(ValueError, match="no package"):
+        registries.parse_named(files, "meson", "q")
