@@ -257,13 +257,19 @@ def strangers(known: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """
     counted = known.groupBy("topic", "flags").count().collect()
     total, shares = sum(r["count"] for r in counted), Counter()
-    for x in counted:
-        for y in counted:
-            s, t, both = x["topic"], y["topic"], x["flags"] & y["flags"]
-            plain = s in (_PLAIN, _UNCLEAR) or t in (_PLAIN, _UNCLEAR)
-            topic = 0 if plain else 1 if s == t else -1
-            if topic >= 0 and (s == _UNCLEAR) == (t == _UNCLEAR):
-                shares[-(both & 1), -(both >> 1), topic] += x["count"] * y["count"] / total**2
+    by_topic: dict[int, np.ndarray] = {}
+    for r in counted:
+        by_topic.setdefault(r["topic"], np.zeros(len(_FLAGS)))[r["flags"]] += r["count"] / total
+    none = np.zeros(len(_FLAGS))
+    plain, unclear = by_topic.pop(_PLAIN, none), by_topic.pop(_UNCLEAR, none)
+    real = sum(by_topic.values(), none)
+    silent = np.outer(plain, plain) + np.outer(plain, real) + np.outer(real, plain) + np.outer(unclear, unclear)
+    alike = sum((np.outer(t, t) for t in by_topic.values()), np.zeros((len(_FLAGS), len(_FLAGS))))
+    for topic, share in ((0, silent), (1, alike)):  # pairs whose topics differ take no part
+        for f in _FLAGS:
+            for g in _FLAGS:
+                if share[f, g] > 0:
+                    shares[-(f & g & 1), -((f & g) >> 1), topic] += share[f, g]
     if not shares:
         return None
     rows = [[{"repository": r, "page": p, "name": -1, "topic": t}.get(f, 0) for f in FUNCTIONS] for r, p, t in shares]
