@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from catalith.functions.ids import bucket, digest
 
@@ -21,10 +22,11 @@ def write(rows: DataFrame, key: str, buckets: int, path: str) -> None:
     placed.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def lookup(spark: SparkSession, path: str, key: str, value: str, buckets: int) -> DataFrame:
-    """The record of a key; only its bucket is read."""
+def lookup(spark: SparkSession, path: str, key: str, value: str, buckets: int, schema: StructType | None = None) -> DataFrame:
+    """The record of a key; only its bucket is read.  With a schema the store may be empty."""
     place = spark.range(1).select(bucket(F.lit(value), buckets)).first()[0]
-    return spark.read.parquet(path).where((F.col("bucket") == place) & (F.col(key) == value)).drop("bucket")
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())]))
+    return reader.parquet(path).where((F.col("bucket") == place) & (F.col(key) == value)).drop("bucket")
 
 
 def manifest(rows: DataFrame, key: str, buckets: int) -> DataFrame:

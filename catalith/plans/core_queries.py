@@ -299,7 +299,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'store').root}/part"
     one = parts.where("p_name <> ''").groupBy("p_name").agg(F.collect_list(F.struct("p_partkey", "p_brand")).alias("rows"))
     kvstore.write(one, "p_name", BUCKETS, path)
-    return kvstore.lookup(spark, path, "p_name", wanted, BUCKETS).select(F.explode("rows").alias("r")).select("r.p_partkey", "r.p_brand")
+    return kvstore.lookup(spark, path, "p_name", wanted, BUCKETS, one.schema).select(F.explode("rows").alias("r")).select("r.p_partkey", "r.p_brand")
 
 
 # entity resolution

@@ -26,7 +26,8 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "stream").root
     keys, fields = ["collection_name", "id"], ["title", "content", "url"]
     feeds.apply_stream(spark, _stream(spark, sf_dir, "browser_changes"), f"{root}/state", f"{root}/checkpoint", keys, fields).awaitTermination()
-    return feeds.read_state(spark, f"{root}/state", keys, fields)
+    state = feeds.read_state(spark, f"{root}/state", keys, fields)
+    return state if state is not None else changefeed.apply_changes(table(spark, sf_dir, "browser_changes").limit(0), keys, fields)
 
 
 @query("""
