@@ -131,6 +131,11 @@ def _blocks(items: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("__blocks")).cast("int")).drop("__blocks")
 
 
+def _no_containers(docs: DataFrame) -> DataFrame:
+    """No containers at all."""
+    return docs.sparkSession.createDataFrame([], "container_name string, source string, container_id string, doc_id long, piece_no int, start_token long, n_tokens long, unused long")
+
+
 def pack_documents(docs: DataFrame, containers: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """The container of every document or piece, for each source and capacity.
 
@@ -144,6 +149,8 @@ def pack_documents(docs: DataFrame, containers: DataFrame, doc_id: str = "doc_id
     size = F.coalesce(F.col(n_tokens).cast("long"), count_tokens(F.col(text)).cast("long"))
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
     sized = scratch.keep(sized, "sized")
+    if not listed:
+        return _no_containers(docs)
     kinds = F.array(*[F.struct(F.lit(c["container_name"]).alias("container_name"), F.lit(int(c["capacity"])).cast("long").alias("capacity")) for c in listed])
     wide = sized.select("doc_id", "source", "size", F.explode(kinds).alias("k")).select("doc_id", "source", "size", "k.*")
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("size") / F.col("capacity")) - 1))
