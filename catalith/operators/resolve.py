@@ -146,6 +146,7 @@ class Merger:
         self.rows, self.forbidden, self.protected = rows, forbidden, set(protected)
         self.parent = {k: k for k in rows}
         self.members = {k: [k] for k in rows}
+        self.ratios: dict[tuple[str, str], float | None] = {}
 
     def find(self, x: str) -> str:
         while self.parent[x] != x:
@@ -154,8 +155,11 @@ class Merger:
         return x
 
     def _ratio(self, a: dict, b: dict) -> float | None:
-        x, y = a.get("description") or "", b.get("description") or ""
-        return SequenceMatcher(None, x.casefold(), y.casefold()).ratio() if x and y else None
+        key = (a["id"], b["id"])
+        if key not in self.ratios:  # groups that grow meet the same pairs again
+            x, y = a.get("description") or "", b.get("description") or ""
+            self.ratios[key] = SequenceMatcher(None, x.casefold(), y.casefold()).ratio() if x and y else None
+        return self.ratios[key]
 
     def _one_code(self, a: dict, b: dict) -> bool:
         meets = lambda c: not set(a.get(c) or ()).isdisjoint(b.get(c) or ())

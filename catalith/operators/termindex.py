@@ -153,3 +153,14 @@ def encoded_segments(index: DataFrame, chunks: int) -> DataFrame:
         return pd.DataFrame({"zone": [pdf["zone"].iloc[0]], "terms": [len(rows)], "data": [encode_segment(sorted(rows.items()), chunks)]})
 
     return listed.groupBy("zone").applyInPandas(run, "zone string, terms long, data string")
+
+
+def decoded_postings(segments: DataFrame, chunks: int) -> DataFrame:
+    """(term, field, chunk) of encoded segments (data)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(term, f, c) for data in pdf["data"] for term, fields in decode_segment(data, chunks) for f, held in fields.items() for c in held]
+            yield pd.DataFrame(rows, columns=["term", "field", "chunk"])
+
+    return segments.select("data").mapInPandas(run, "term string, field int, chunk long")

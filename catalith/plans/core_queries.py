@@ -136,11 +136,16 @@ def index_chunk_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termindex.chunk_deltas(_postings(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT fetch_id // {CHUNK} AS chunk, 0 AS field, title AS x FROM blog_posts UNION ALL SELECT fetch_id // {CHUNK}, 1, description FROM blog_posts
+  UNION ALL SELECT fetch_id // {CHUNK}, 2, source_title FROM blog_posts UNION ALL SELECT fetch_id // {CHUNK}, 3, array_to_string(tags, ' ') FROM blog_posts)
+SELECT term, count(*) AS postings, min(chunk) AS first_chunk FROM (SELECT DISTINCT chunk, field, unnest(regexp_extract_all(lower(x), {TERMS})) AS term FROM t) WHERE length(term) >= 2 GROUP BY term
+""")
 def index_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of all posts written as encoded segments and read back."""
     index = termindex.postings(_posts(spark, sf_dir), _POST_FIELDS, F.floor(F.col("fetch_id") / CHUNK).cast("long"))
-    chunks = table(spark, sf_dir, "blog_posts").agg(F.max("fetch_id")).first()[0] or 0
-    return termindex.encoded_segments(index, chunks // CHUNK + 1)
+    chunks = (table(spark, sf_dir, "blog_posts").agg(F.max("fetch_id")).first()[0] or 0) // CHUNK + 1
+    return termindex.decoded_postings(termindex.encoded_segments(index, chunks), chunks).groupBy("term").agg(F.count("*").alias("postings"), F.min("chunk").alias("first_chunk"))
 
 
 @query(f"""

@@ -45,7 +45,7 @@ def test_entry_runs(spark, small):
 
 
 def test_rows_only_queries_run(spark, small):
-    for name in ("index_encoded", "text_similarity", "constrained_clusters", "entity_ids"):
+    for name in ("text_similarity", "constrained_clusters", "entity_ids"):
         assert core_queries.QUERIES[name](spark, small).count() > 0, name
 
 
