@@ -380,8 +380,8 @@ def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    packages = _packages(spark, sf_dir)
-    return packages, resolve.score_pairs(resolve.block_pairs(packages), packages, texts)
+    packages = Scratch(spark, "scored").keep(_packages(spark, sf_dir), "packages")
+    return packages, resolve.score_pairs(resolve.candidate_pairs(packages), packages, texts)
 
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right", confidence FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45')

@@ -181,3 +181,50 @@ def test_calendar_feed_holds_suppliers(spark, small):
     suppliers = table(spark, small, "supplier").join(table(spark, small, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).collect()
     assert set(feeds) == {r["n_name"] for r in suppliers} and sum(d.count("BEGIN:VEVENT") for d in feeds.values()) == len(suppliers)
     assert all(f"SUMMARY:{r['s_name']}\r\n" in feeds[r["n_name"]] for r in suppliers)
+
+
+def scoring_packages(spark):
+    """Three hundred packages of one page, and pairs on it that only one other signal joins."""
+    page = {"homepage": "homepage.invalid"}
+    data = [package(f"{'abc'[i % 3]}:n{i}", f"n{i}", **page, licenses=["mit"], versions=["1"], maintainers=["m"], description="the same text") for i in range(300)]
+    data += [
+        package("a:repo", "one", **page, repository="f/1", repositories=["f/1", "f/9"]), package("b:repo", "two", **page, repository="f/2", repositories=["f/2", "f/9"]),
+        package("a:lib", "lib", **page), package("b:dash", "-", **page), package("a:none", None, **page), package("b:none", None, **page),
+        package("a:url", "three", source_urls=["https://s/X"]), package("b:url", "four", source_urls=["https://s/X"]), package("c:url", "five", source_urls=["https://s/x "]),
+        package("a:sum", "six", checksums=["c"], authors=["A"]), package("b:sum", "seven", checksums=["c"]), package("b:author", "eight", authors=["A"], licenses=["mit"]),
+        package("a:far", "nine", repository="f/3", repositories=["f/3", "f/8"]), package("b:far", "ten", repository="f/4", repositories=["f/4", "f/8"]),
+    ]
+    return spark.createDataFrame(data, resolve.PACKAGE)
+
+
+@pytest.mark.parametrize("texts", [False, True])
+def test_candidates_give_the_scores_of_all_pairs(spark, rows, texts):
+    """A page of many packages adds no pairs to those that are scored, and no match is lost by that."""
+    frame = scoring_packages(spark)
+    candidates = resolve.candidate_pairs(frame)
+    assert candidates.count() < 20 < 20_000 < resolve.block_pairs(frame).count()
+    assert candidates.join(resolve.block_pairs(frame), ["left", "right"], "left_anti").isEmpty()
+    found = rows(resolve.score_pairs(candidates, frame, texts))
+    assert found == rows(resolve.score_pairs(resolve.block_pairs(frame), frame, texts))
+    assert {r[:2] for r in found} >= {("a:repo", "b:repo"), ("a:lib", "b:dash"), ("a:url", "b:url"), ("a:sum", "b:sum"), ("a:sum", "b:author")}
+
+
+def test_signals_besides_the_candidates_stay_below_the_floor():
+    strong = {"same upstream repository", "same distributed source URL", "same distributed source checksum", "same exact name", "same normalized spelling", "library-prefix alias", "shared author"}
+    miss = 1 - resolve.SIMILAR_WEIGHT
+    for signal, weight in resolve.WEIGHTS.items():
+        miss *= 1 - max(0, weight) if signal not in strong else 1
+    assert (1 - miss) * (1 + resolve.WEIGHTS["substantially different names"]) < resolve.FLOOR - 0.001
+
+
+def test_scoring_queries_pair_no_page(spark, tmp_path, monkeypatch):
+    """The queries score no pairs that only share a page."""
+    from catalith.plans import core_queries
+
+    scored = []
+    real = resolve.score_pairs
+    monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
+    monkeypatch.setattr(core_queries, "_packages", lambda *_: scoring_packages(spark))
+    for name in ("pair_score",):
+        core_queries.QUERIES[name](spark, str(tmp_path))
+    assert scored and max(scored) < 20
