@@ -225,6 +225,6 @@ def test_scoring_queries_pair_no_page(spark, tmp_path, monkeypatch):
     real = resolve.score_pairs
     monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
     monkeypatch.setattr(core_queries, "_packages", lambda *_: scoring_packages(spark))
-    for name in ("pair_score", "merge_priority"):
+    for name in ("pair_score", "merge_priority", "text_similarity"):
         core_queries.QUERIES[name](spark, str(tmp_path))
-    assert len(scored) == 2 and max(scored) < 20
+    assert len(scored) == 3 and max(scored) < 20
