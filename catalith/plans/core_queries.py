@@ -415,7 +415,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "entities")
     packages = scratch.keep(_packages(spark, sf_dir), "packages")
-    scored = resolve.score_pairs(resolve.block_pairs(packages), packages)
+    scored = resolve.score_pairs(resolve.candidate_pairs(packages), packages)
     scored = scratch.keep(scored.select("left", "right", "confidence", "priority"), "scored")
     roots, decisions = resolve.constrained_merge(packages, scored)
     return packages, roots, decisions

@@ -225,6 +225,19 @@ def test_scoring_queries_pair_no_page(spark, tmp_path, monkeypatch):
     real = resolve.score_pairs
     monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
     monkeypatch.setattr(core_queries, "_packages", lambda *_: scoring_packages(spark))
-    for name in ("pair_score", "merge_priority", "text_similarity"):
+    for name in ("pair_score", "merge_priority", "text_similarity", "constrained_clusters"):
         core_queries.QUERIES[name](spark, str(tmp_path))
-    assert len(scored) == 3 and max(scored) < 20
+    assert len(scored) == 4 and max(scored) < 20
+
+
+def test_components_are_replayed_together(spark, rows, monkeypatch):
+    """However many components one task replays, each gives the same groups and decisions."""
+    data = [package(f"{r}:p{i}", f"p{i}") for i in range(40) for r in "abc"]
+    frame = spark.createDataFrame(data, resolve.PACKAGE)
+    links = [m for i in range(40) for m in ((f"a:p{i}", f"b:p{i}", 0.95, 7), (f"b:p{i}", f"c:p{i}", 0.9, 7), (f"a:p{i}", f"a:p{i ^ 1}", 0.85, 1))]
+    matches = spark.createDataFrame(links, "left string, right string, confidence double, priority int")
+    never = spark.createDataFrame([(f"a:p{i}", f"c:p{i}") for i in range(0, 40, 4)], "left string, right string")
+    together = [rows(f) for f in resolve.constrained_merge(frame, matches, forbidden=never)]
+    monkeypatch.setattr(resolve, "REPLAYED", 1)
+    assert together == [rows(f) for f in resolve.constrained_merge(frame, matches, forbidden=never)]
+    assert dict(together[0])["c:p0"] == "c:p0" and dict(together[0])["c:p1"] == "a:p1" and ("a:p0", "a:p1", "conflict") in together[1]
