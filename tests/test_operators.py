@@ -225,9 +225,9 @@ def test_scoring_queries_pair_no_page(spark, tmp_path, monkeypatch):
     real = resolve.score_pairs
     monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
     monkeypatch.setattr(core_queries, "_packages", lambda *_: scoring_packages(spark))
-    for name in ("pair_score", "merge_priority", "text_similarity", "constrained_clusters"):
+    for name in ("pair_score", "merge_priority", "text_similarity", "constrained_clusters", "entity_ids"):
         core_queries.QUERIES[name](spark, str(tmp_path))
-    assert len(scored) == 4 and max(scored) < 20
+    assert len(scored) == 5 and max(scored) < 20
 
 
 def test_components_are_replayed_together(spark, rows, monkeypatch):
