@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,28 @@ def test_scoring_queries_pair_no_page(spark, tmp_path, monkeypatch):
     assert len(scored) == 5 and max(scored) < 20
 
 
+def on_one_page(spark, small, tmp_path):
+    """The folder of a package_versions in which all packages name one page."""
+    from catalith.util import table
+
+    table(spark, small, "package_versions").withColumn("homepage", F.lit("https://homepage.invalid/")).write.parquet(f"{tmp_path}/package_versions.parquet")
+    return str(tmp_path)
+
+
+def test_merge_priority_of_one_page(spark, rows, small, tmp_path, monkeypatch):
+    """A page that all packages name makes no pairs to shuffle, and the rows are those of the SQL."""
+    from catalith.plans import core_queries
+
+    scored, real = [], resolve.score_pairs
+    monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
+    path = on_one_page(spark, small, tmp_path)
+    found = rows(core_queries.QUERIES["merge_priority"](spark, path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW package_versions AS SELECT * FROM '{path}/package_versions.parquet/*.parquet'")
+    assert found and found == sorted(con.execute(core_queries.ORACLES["merge_priority"]).fetchall(), key=repr)
+    assert len(found) <= scored[0] < 2 * len(found) < core_queries.block_pairs(spark, path).count() / 10
+
+
 def test_components_are_replayed_together(spark, rows, monkeypatch):
     """However many components one task replays, each gives the same groups and decisions."""
     data = [package(f"{r}:p{i}", f"p{i}") for i in range(40) for r in "abc"]
