@@ -253,6 +253,19 @@ def test_merge_priority_of_one_page(spark, rows, small, tmp_path, monkeypatch):
     assert len(found) <= scored[0] < 2 * len(found) < core_queries.block_pairs(spark, path).count() / 10
 
 
+def test_text_similarity_of_one_page(spark, rows, small, tmp_path, monkeypatch):
+    """A page that all packages name makes no pairs whose texts are compared, and no match is lost by that."""
+    from catalith.plans import core_queries
+
+    scored, real = [], resolve.score_pairs
+    path = on_one_page(spark, small, tmp_path)
+    monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *more: scored.append(pairs.count()) or real(pairs, *more))
+    found = rows(core_queries.QUERIES["text_similarity"](spark, path))
+    monkeypatch.setattr(resolve, "candidate_pairs", resolve.block_pairs, raising=False)
+    assert found and any(r[3] for r in found) and found == rows(core_queries.QUERIES["text_similarity"](spark, path))
+    assert len(found) <= scored[0] < 2 * len(found) < scored[1] / 10
+
+
 def test_components_are_replayed_together(spark, rows, monkeypatch):
     """However many components one task replays, each gives the same groups and decisions."""
     data = [package(f"{r}:p{i}", f"p{i}") for i in range(40) for r in "abc"]
