@@ -310,10 +310,11 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # entity resolution
 
 
-def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per package with what comparison needs, from all of its releases.
+def _packages(spark: SparkSession, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """One row per package with what comparison needs, from all of its releases; kept in ``scratch``, if given.
 
-    The table has no authors, maintainers and package types.
+    The table has no authors, maintainers and package types.  These aren't kept, so
+    that no shuffle carries them.
     """
     rows = table(spark, sf_dir, "package_versions")
     said = lambda c: F.when(F.trim(c) != "", F.trim(c))
@@ -334,7 +335,10 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_set(F.lower(F.trim("release_version"))).alias("versions"), F.max("summary").alias("description"),
         F.array_distinct(F.flatten(F.collect_set("urls"))).alias("source_urls"), F.array_distinct(F.flatten(F.collect_set("sums"))).alias("checksums"))
     drop = F.filter("licenses", lambda v: (v != "") & ~v.isin(names.LICENCE_MISSING))
-    return grouped.withColumns({"registry": F.substring_index("id", ":", 1), "licenses": drop, "authors": none, "maintainers": none, "package_type": F.lit(None).cast("string")})
+    grouped = grouped.withColumns({"registry": F.substring_index("id", ":", 1), "licenses": drop})
+    if scratch:
+        grouped = scratch.keep(grouped, "packages", free=True)
+    return grouped.withColumns({"authors": none, "maintainers": none, "package_type": F.lit(None).cast("string")})
 
 
 _PACKAGES_SQL = r"""
@@ -380,8 +384,11 @@ def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    packages = Scratch(spark, "scored").keep(_packages(spark, sf_dir), "packages")
-    return packages, resolve.score_pairs(resolve.candidate_pairs(packages), packages, texts)
+    """(packages, scored pairs); the pairs are kept, so that the files of their shuffles are gone before theirs with the packages are written."""
+    scratch = Scratch(spark, "scored")
+    packages = _packages(spark, sf_dir, scratch)
+    pairs = scratch.keep(resolve.candidate_pairs(packages), "pairs", free=True)
+    return packages, resolve.score_pairs(pairs, packages, texts)
 
 
 @query(_PACKAGES_SQL + 'SELECT "left", "right", confidence FROM (SELECT *, round(CASE WHEN repo THEN 1 - miss ELSE (1 - miss) * greatest(0.0::DOUBLE, 1.0::DOUBLE + penalty) END, 4) AS confidence FROM weighed) WHERE confidence >= 0.45')

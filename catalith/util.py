@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which ``broadcast_if_small`` broadcasts a lookup table.
 BROADCAST_ROWS = 50_000
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: dict[str, str] = {}
 
@@ -71,9 +73,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """free: the shuffle files of the write are deleted as soon as it is done, not when the driver collects its garbage."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(FREE)
+        self.spark.conf.set(FREE, free or was)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._catalith_path = path
         return out

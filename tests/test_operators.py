@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +268,29 @@ def test_text_similarity_of_one_page(spark, rows, small, tmp_path, monkeypatch):
     assert len(found) <= scored[0] < 2 * len(found) < scored[1] / 10
 
 
+def shuffle_files(spark):
+    """The shuffle files that the session has on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def frees_pairs(spark, name, path):
+    """Whether a query, before its rows are asked for, has made its pairs and holds no shuffle files of them."""
+    from catalith.plans import core_queries
+
+    had = shuffle_files(spark)
+    plan = core_queries.QUERIES[name](spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    ends = time.time() + 10
+    while (left := shuffle_files(spark) - had) and time.time() < ends:
+        time.sleep(0.2)
+    return "Generate" not in plan and "authors" not in plan.replace("shared author", "") and not left
+
+
+def test_merge_priority_frees_its_pairs(spark, small):
+    """The shuffles that make the pairs aren't on disk beside those that score them, and no shuffle carries columns that are always empty."""
+    assert frees_pairs(spark, "merge_priority", small)
+
+
 def test_components_are_replayed_together(spark, rows, monkeypatch):
     """However many components one task replays, each gives the same groups and decisions."""
     data = [package(f"{r}:p{i}", f"p{i}") for i in range(40) for r in "abc"]
