@@ -1,6 +1,7 @@
 import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,22 @@ def test_merge_priority_frees_its_pairs(spark, small):
     assert frees_pairs(spark, "merge_priority", small)
 
 
+def test_text_similarity_frees_its_pairs(spark, small):
+    """The shuffles that make the pairs aren't on disk beside those that bring their texts together."""
+    assert frees_pairs(spark, "text_similarity", small)
+
+
+def test_texts_are_compared_once(monkeypatch):
+    """Texts that are equal or come again aren't compared again, and the ratios are the plain ones."""
+    real, made = resolve.SequenceMatcher, []
+    monkeypatch.setattr(resolve, "SequenceMatcher", lambda *a: made.append(a[1:]) or real(*a))
+    long = "fast parser of feeds, " * 30  # from 200 characters on, frequent ones are left out
+    pairs = [("Fast parser", "a FAST parser"), ("fast PARSER", "a fast parser"), ("a fast parser", "fast parser"), (long, long.upper()), (long, long + "x"), ("x", None), ("", "x"), ("x", "X")] * 2
+    found = resolve.text_ratio.func(*[pd.Series(side, dtype=object) for side in zip(*pairs, strict=True)])
+    plain = [real(None, a.casefold(), b.casefold()).ratio() if a and b else None for a, b in pairs]
+    assert [None if pd.isna(r) else r for r in found] == plain and len(made) == 3
+
+
 def test_components_are_replayed_together(spark, rows, monkeypatch):
     """However many components one task replays, each gives the same groups and decisions."""
     data = [package(f"{r}:p{i}", f"p{i}") for i in range(40) for r in "abc"]
